@@ -28,7 +28,7 @@ THRESHOLDS = (
     ("symbols_per_word", None, 0.1, 0),
     ("shouts_per_word", None, 0.2, 0),
     ("stop_word_share", 0.02, None, 50),
-    ("dup_line_share", None, 0.3, 0),
+    ("dup_line_share", None, 0.5, 0),
     ("repeat_word_share", None, 0.2, 0),
 )
 REPEAT_WINDOW = 5
