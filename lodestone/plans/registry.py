@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 
+from . import evaluate, evidence, index, ingest, knowledge, streams, text
+
+
 def families() -> list:
-    return []
+    return [text, ingest, index, evidence, knowledge, evaluate, streams]
 
 
 def queries() -> dict:
