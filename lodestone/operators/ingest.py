@@ -27,9 +27,9 @@ def structure_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     cut = F.regexp_count(text_col, F.lit(r"(?m)^(#{1,6}\s+\S|--- page \d+ ---)"))
     rows = docs.select(id_col, F.length(text_col).alias("n"), F.when(cut > 0, marks).otherwise(F.array().cast("array<struct<line:string,start:int>>")).alias("m"))
     whole = rows.where("size(m) = 0").select(id_col, F.lit("doc").alias("kind"), F.lit("").alias("label"), F.lit(0).alias("start"), F.col("n").alias("end"))
-    one = rows.where("size(m) > 0").select(id_col, "n", F.posexplode("m").alias("i", "x"), "m")
-    page = F.col("x.line").rlike("^---")
-    span = one.select(id_col, F.when(page, "page").otherwise("heading").alias("kind"), F.when(page, F.regexp_extract("x.line", r"\d+", 0)).otherwise(F.trim(F.regexp_replace("x.line", r"^#{1,6}\s+", ""))).alias("label"), F.col("x.start").alias("start"), F.coalesce(F.get("m", F.col("i") + 1)["start"], F.col("n")).alias("end"))
+    one = rows.where("size(m) > 0").select(id_col, "n", F.posexplode("m").alias("_i", "_x"), "m")
+    page = F.col("_x.line").rlike("^---")
+    span = one.select(id_col, F.when(page, "page").otherwise("heading").alias("kind"), F.when(page, F.regexp_extract("_x.line", r"\d+", 0)).otherwise(F.trim(F.regexp_replace("_x.line", r"^#{1,6}\s+", ""))).alias("label"), F.col("_x.start").alias("start"), F.coalesce(F.get("m", F.col("_i") + 1)["start"], F.col("n")).alias("end"))
     before = rows.where("size(m) > 0").where(F.get("m", F.lit(0))["start"] > 0).select(id_col, F.lit("preamble").alias("kind"), F.lit("").alias("label"), F.lit(0).alias("start"), F.get("m", F.lit(0))["start"].alias("end"))
     return whole.unionByName(span).unionByName(before)
 
