@@ -169,3 +169,13 @@ def identify(docs: DataFrame, modulus: int = 5, **options) -> DataFrame:
     """docs with held_out, lang_pred and score, learned from the labelled rows that aren't held out."""
     out = held_out(F.col("doc_id"), modulus, 0)
     return predict(docs.withColumn("held_out", out), fit(docs.where(~out), **options))
+
+
+def accepted(docs: DataFrame, modulus: int = 5, lift: float = 1.15, **options) -> DataFrame:
+    """The rows of docs whose language can be told: not und, and the winner's share at least ``lift`` times an even one."""
+    filters = fit(docs.where(~held_out(F.col("doc_id"), modulus, 0)), **options)
+    if not filters.langs:
+        return docs
+    own = docs.select(*[F.col(c).alias(f"own_{k}") for k, c in enumerate(docs.columns)], F.col("text"))  # whatever the columns' names
+    found = predict(own, filters).where((F.col("lang_pred") != "und") & (F.col("score") >= min(1.0, lift / len(filters.langs))))
+    return found.select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(docs.columns)])
