@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestone.llm import language, mixing, packing, quality, simhash
 from lodestone.llm.common import scratch, tokenizer_file
 
-#: A document whose best language has less than this share of all languages' hits is rejected, and any without letters.
-LEAST_SHARE = 0.3
+#: A document whose best language has less than this many times an even share of all languages' hits is rejected, and any without letters.
+LIFT = 1.15
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +16,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language.identify(docs, 5)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    return language.accepted(docs, 5, LIFT)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
