@@ -72,6 +72,19 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_token_records, op2_warc, op3_maxent_scores, op4_quality_rules, op5_spotsigs, op6_chat_trees, op7_curriculum_mix, op8_simhash, op9_pack, op10_language, pipeline)}
 
 
+_STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
+
+
+def _rules_sql() -> str:
+    """The threshold table as SQL."""
+    values = {"n_words": "n_words", "mean_word_chars": "word_chars::DOUBLE / greatest(n_words, 1)", "symbols_per_word": "n_symbols::DOUBLE / greatest(n_words, 1)", "shouts_per_word": "n_shouts::DOUBLE / greatest(n_words, 1)", "stop_word_share": "n_stops::DOUBLE / greatest(n_words, 1)", "dup_line_share": "n_dup_lines::DOUBLE / greatest(n_lines, 1)", "repeat_word_share": "n_repeat_words::DOUBLE / greatest(n_words, 1)"}
+    rules = []
+    for name, least, most, words in quality.THRESHOLDS:
+        own = [f"{values[name]} >= {least}::DOUBLE"] * (least is not None) + [f"{values[name]} <= {most}::DOUBLE"] * (most is not None)
+        rules.append(f"(n_words < {words} OR ({' AND '.join(own)}))")
+    return " AND ".join(rules)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": """
@@ -81,4 +94,20 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN g.holder IS NULL OR g.holder = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
                    CASE WHEN g.holder <> p.page_id THEN g.holder END AS refers_to
             FROM p LEFT JOIN g ON p.h = g.h AND p.n >= 1000""",
+        "op4_quality_rules": rf"""
+            WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i) s),
+            rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+            cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM rep, (SELECT unnest(range(0, 5)) AS k) GROUP BY 1),
+            ln AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+            m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, length(t) - length(replace(t, '!', '')) AS n_shouts,
+                len(list_filter(w, lambda x: lower(translate(x, '.,;:!?', '')) IN ({_STOPS}))) AS n_stops, len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+                FROM w JOIN ln USING (doc_id) LEFT JOIN cov USING (doc_id)),
+            f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+            SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_rules_sql()} AS kept FROM f""",
+        "op6_chat_trees": r"""
+            WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+            e AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss, 24 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS n FROM c)
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, sum(length(loss))::BIGINT AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+            FROM e GROUP BY 1""",
     }
