@@ -9,6 +9,7 @@ import zlib
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -69,7 +70,7 @@ def pdf_text(data: bytes) -> str:
 def candidates(spark: SparkSession, path: str, most: int = 64 << 20, oldest_days: int = 36_500, now: str | None = None) -> DataFrame:
     """The files under path with the reason to skip each (null: a candidate), newest first."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
-    day = F.lit(now).cast("timestamp") if now else F.max("modificationTime").over(ingest.W.partitionBy())
+    day = F.lit(now).cast("timestamp") if now else F.max("modificationTime").over(W.partitionBy())
     f = f.withColumn("age_days", F.datediff(day, "modificationTime"))
     return f.withColumn("skip", ingest.skip_reason(F.col("path"), F.col("length"), F.col("age_days"), EXTENSIONS, most, oldest_days)).orderBy(F.desc("modificationTime"), "path")
 
