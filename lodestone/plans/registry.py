@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 
-from . import evaluate, evidence, index, ingest, knowledge, streams, text
+from . import evaluate, evidence, extras, index, ingest, knowledge, streams, text
 
 
 def families() -> list:
-    return [text, ingest, index, evidence, knowledge, evaluate, streams]
+    return [text, ingest, index, evidence, knowledge, evaluate, streams, extras]
 
 
 def queries() -> dict:
