@@ -107,7 +107,7 @@ class Encoder:
     vocabulary allows. Memory is bounded: at most two generations of ``memory`` pieces, none longer than 256 bytes.
     """
 
-    def __init__(self, path: str, spaced: bool, memory: int = 600_000):
+    def __init__(self, path: str, spaced: bool, memory: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -162,14 +162,28 @@ class Encoder:
         return b"".join(ids)
 
 
+#: What the operators remember in this Python worker: owner, and how it is let go.
+_held: dict[str, object] = {}
+
+
+def take_memory(owner: str, let_go=None) -> None:
+    """A worker remembers things for one operator at a time: what others left in it is freed when a task of this one begins."""
+    for other in [k for k in _held if k != owner]:
+        _held.pop(other)()
+    if let_go:
+        _held[owner] = let_go
+
+
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
     """The worker's encoder for this file; what it remembers serves all tasks of a Python worker."""
+    take_memory("tokens", _encoders.clear)
     if (path, spaced) not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _encoders.clear()
         _encoders[path, spaced] = Encoder(path, spaced)
     return _encoders[path, spaced]

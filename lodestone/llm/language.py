@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, take_memory
 
 SIZES, SLOTS, HASHES = (2, 3, 4), 1 << 20, 3
 #: The filters are fitted on about this many labelled rows of each language, chosen by a hash of their id and text.
@@ -138,14 +138,15 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches):
+        take_memory("language")
         own = Filters.__new__(Filters)
         own.langs, own.size, own.masks, own.false = held.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             pred, score, at = [], [], 0
-            while at < len(texts):  # about a million characters at once
+            while at < len(texts):  # about a quarter of a million characters at once
                 end, chars = at, 0
-                while end < len(texts) and (end == at or chars < 1 << 20):
+                while end < len(texts) and (end == at or chars < 1 << 18):
                     chars += len(texts[end] or "")
                     end += 1
                 part = texts[at:end]

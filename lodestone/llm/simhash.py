@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, take_memory
 from .components import components
 
 WIDTH, SEED, BITS = 4, 42, 4
@@ -47,6 +47,7 @@ def fingerprinted(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), width: i
     import pyarrow as pa
 
     def run(batches):
+        take_memory("simhash")
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
             fp = np.array([fingerprint(x or b"", width, seed) for x in texts], np.uint64).view(np.int64)
