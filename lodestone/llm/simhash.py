@@ -146,11 +146,18 @@ def near_copies(docs: DataFrame, bits: int = BITS, width: int = WIDTH, seed: int
 
 
 def one_of_each(docs: DataFrame, bits: int = BITS, width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """docs with one row left of each component: that with the least doc_id (null last; of equal ids, one)."""
-    rows = fingerprinted(docs, tuple(docs.columns), width, seed)
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))
+    """docs with one row left of each component: that with the least doc_id (null last; of equal ids, one).
+
+    Only ids, a hash of the whole row and fingerprints are written and compared; the kept rows are then picked from docs
+    by id and hash, and rows that are equal in every column count once.
+    """
+    names = list(docs.columns)
+    marked = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in names]))
+    rows = fingerprinted(marked.select("doc_id", "_row", "text"), ("doc_id", "_row"), width, seed)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
     own = rows.groupBy("fp").agg(F.min(first).alias("holder"))
     found = components(links(own.select("fp"), bits))
     named = own.join(found, F.col("fp") == F.col("node"), "left").select(F.coalesce("label", "fp").alias("component"), "holder")
-    kept = named.groupBy("component").agg(F.min("holder").alias("holder")).select(F.col("holder.rid").alias("rid"))
-    return rows.join(kept, "rid", "left_semi").select(*docs.columns)
+    kept = named.groupBy("component").agg(F.min("holder").alias("holder")).select(F.col("holder.row").alias("_r"), F.col("holder.doc_id").alias("_d"))
+    picked = marked.join(kept, (F.col("_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    return picked.dropDuplicates(["_row", "doc_id"]).select(*names)
