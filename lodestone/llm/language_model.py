@@ -1,9 +1,9 @@
 """A hashed maximum-entropy language model with class-factored softmax.
 
 A word is scored as P(class | history) * P(place in class | class, history) * P(word | class, place). Its class is a hash
-of its ending and its place a hash of the word; both softmaxes are log-linear in hashed features of the words before:
-the last word, the one before it with the last skipped, the pair of their classes, and the pair of classes two words
-further back. The third factor shares a place out among its words by add-one counts, one share being for all unseen
+of its ending and its place a hash of the word; both softmaxes are log-linear in hashed features of the words before: the
+last word, the one before it with the last skipped, and the pair of their classes for the class; the pair of the own
+and the last word's class for the place. The third factor shares a place out among its words by add-one counts, one share being for all unseen
 words. Counts cover every training token. The weights are trained in rounds over disjoint parts of the training rows:
 each trainer takes AdaGrad steps over its rows from common weights, and the changes are averaged, by tokens, in a
 two-level tree. Weights have a fixed size, whatever the corpus.
@@ -19,15 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, staged
+from .common import held_out, staged, take_memory
 
 CLASSES, PLACES, ROWS = 32, 32, 4096
 HEAD, TRAINERS, ROUNDS, BATCH, RATE = 1 << 18, 256, 2, 8192, 0.15
 ENDING = 3
 _SLOTS = CLASSES * PLACES
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _END, _BEFORE = b"\n", b"\r"  # no word holds white space
-_memo: dict[bytes, int] = {}
+_MEMORY = 500_000
+_memo: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})  # words seen lately, and before those
 
 
 def number(word: bytes) -> int:
@@ -40,16 +40,29 @@ def number(word: bytes) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _forget() -> None:
+    global _memo
+    _memo = {}, {}
+
+
 def numbers(words: list[bytes]) -> np.ndarray:
-    found = list(map(_memo.get, words))
+    """The numbers of words; what is remembered is bounded by two generations."""
+    global _memo
+    new, old = _memo
+    found = list(map(new.get, words))
     if None in found:
-        if len(_memo) > 500_000:
-            _memo.clear()
+        if len(new) > _MEMORY:
+            _memo = new, old = {}, new
         for i in [i for i, x in enumerate(found) if x is None]:
             w = words[i]
-            found[i] = x = number(w)
-            if len(w) <= 64:
-                _memo[w] = x
+            x = new.get(w)
+            if x is None:
+                x = old.get(w)
+                if x is None:
+                    x = number(w)
+                if len(w) <= 64:
+                    new[w] = x
+            found[i] = x
     return np.array(found, np.int64)
 
 
@@ -69,6 +82,7 @@ def count(docs: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
+        take_memory("words", _forget)
         held, size = [], 0
         for batch in batches:
             for text in _texts(batch):
@@ -91,7 +105,7 @@ def count(docs: DataFrame) -> DataFrame:
 class Weights:
     """The tables of both softmaxes, float32."""
 
-    SHAPES = ((ROWS, CLASSES), (ROWS, CLASSES), (_SLOTS, CLASSES), (_SLOTS, CLASSES), (_SLOTS, PLACES), (_SLOTS, PLACES))
+    SHAPES = ((ROWS, CLASSES), (ROWS, CLASSES), (CLASSES * CLASSES, CLASSES), (CLASSES * CLASSES, PLACES))
 
     def __init__(self, tables: list[np.ndarray], class_bias: np.ndarray, place_bias: np.ndarray):
         self.tables, self.class_bias, self.place_bias = tables, class_bias.astype(np.float32), place_bias.astype(np.float32)
@@ -113,51 +127,57 @@ class Weights:
         return Weights(out, self.class_bias, self.place_bias)
 
 
-def features(line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Class, place and rows of the tables for the words at these indexes of a line of word numbers."""
-    slot = (line & (_SLOTS - 1)).astype(np.int64)
-    kind = slot // PLACES
-    own = kind[at]
-    b1, b2 = line[at - 1].view(np.uint64), line[at - 2].view(np.uint64)
-    row = lambda x, salt: ((((x >> np.uint64(10)) ^ np.uint64(salt)) * _MIX) >> np.uint64(40)).astype(np.int64) % ROWS
-    k1, k2 = kind[at - 1], kind[at - 2]
-    return own, slot[at] % PLACES, [row(b1, 1), row(b2, 2), k1 * CLASSES + k2, kind[at - 3] * CLASSES + kind[at - 4], own * CLASSES + k1, own * CLASSES + k2]
+def features(line: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Class, place and rows of the tables for the words of a line from start (2 at least) to end."""
+    own = line[start - 2 : end]
+    kind = ((own >> 5) & (CLASSES - 1)).astype(np.uint16)
+    row = ((own >> 10) & (ROWS - 1)).astype(np.uint16)
+    k0, k1, k2 = kind[2:], kind[1:-1], kind[:-2]
+    return k0, (own[2:] & (PLACES - 1)).astype(np.uint16), [row[1:-1], row[:-2], k1 * CLASSES + k2, k0 * CLASSES + k1]
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(1, keepdims=True)
-    e = np.exp(z)
-    s = e.sum(1, keepdims=True)
-    return e / s, z - np.log(s)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
 
 
 def logits(w: Weights, own: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     t = w.tables
-    a = t[0][rows[0]] + t[1][rows[1]] + t[2][rows[2]] + t[3][rows[3]] + w.class_bias
-    return a, t[4][rows[4]] + t[5][rows[5]] + w.place_bias[own]
+    a = t[0][rows[0]]
+    a += t[1][rows[1]]
+    a += t[2][rows[2]]
+    a += w.class_bias
+    b = t[3][rows[3]]
+    b += w.place_bias[own]
+    return a, b
 
 
 def line_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts in one line of words, four starts before each, and the indexes of their words."""
-    pad = np.full(4, number(_BEFORE), np.int64)
+    """Texts in one line of words, two starts before each, and which of the line are words of the texts."""
+    pad = np.full(2, number(_BEFORE), np.int64)
     line = np.concatenate([x for t in texts for x in (pad, t)])
     keep = np.ones(len(line), bool)
-    starts = np.cumsum([0, *(len(t) + 4 for t in texts[:-1])])
-    keep[(starts[:, None] + np.arange(4)).ravel()] = False
-    return line, np.flatnonzero(keep)
-
-
-def train(w: Weights, line: np.ndarray, at: np.ndarray, sums: list[np.ndarray], rate: float = RATE) -> None:
-    """AdaGrad steps over batches of the words at these indexes; changes w and sums."""
-    for k in range(0, len(at), BATCH):
-        own, place, rows = features(line, at[k : k + BATCH])
+    starts = np.cumsum([0, *(len(t) + 2 for t in texts[:-1])])
+    keep[(starts[:, None] + np.arange(2)).ravel()] = False
+    return line, keep
+
+
+def train(w: Weights, line: np.ndarray, keep: np.ndarray, sums: list[np.ndarray], rate: float = RATE) -> None:
+    """AdaGrad steps over batches of the words of a line; changes w and sums."""
+    for k in range(2, len(line), BATCH):
+        end = min(len(line), k + BATCH)
+        own, place, rows = features(line, k, end)
+        if not keep[k:end].all():
+            own, place, rows = own[keep[k:end]], place[keep[k:end]], [r[keep[k:end]] for r in rows]
         a, b = logits(w, own, rows)
         i = np.arange(len(own))
-        for z, y, which in ((a, own, range(4)), (b, place, (4, 5))):
-            g, _ = _softmax(z)
+        for z, y, which in ((a, own, (0, 1, 2)), (b, place, (3,))):
+            g = _softmax(z)
             g[i, y] -= 1
             for f in which:
-                order = np.argsort(rows[f], kind="stable")
+                order = np.argsort(rows[f], kind="stable")  # two bytes wide: a radix sort
                 r = rows[f][order]
                 first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
                 total, r = np.add.reduceat(g[order], first, axis=0), r[first]
@@ -172,6 +192,7 @@ def train_round(docs: DataFrame, w: Weights, trainers: int = TRAINERS) -> Weight
     sent = docs.sparkSession.sparkContext.broadcast((w.tables, w.class_bias, w.place_bias))  # fixed size
 
     def run(batches):
+        take_memory("words", _forget)
         tables, cb, pb = sent.value
         own = Weights([t.copy() for t in tables], cb, pb)
         sums, n, held, size = [np.zeros_like(t) for t in tables], 0, [], 0
@@ -212,10 +233,23 @@ class Model:
         self.tokens, self.words = int(slot_tokens.sum()), int(slot_words.sum())
 
 
+def commonest(vocabulary: DataFrame, head: int):
+    """The commonest words, at most ``head``, by id. Counts fall into 16 steps for each doubling; whole steps are taken, so no task sends more than its share."""
+    step = F.floor(F.log2("n") * 16)
+    sizes = {r["step"]: r["words"] for r in vocabulary.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()}  # 16 a doubling
+    least, total = None, 0
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > head:
+            break
+        least = k
+    return vocabulary.where(step >= (least if least is not None else 1 << 20)).toPandas().sort_values("id")
+
+
 def fit(docs: DataFrame, rounds: int = ROUNDS, head: int = HEAD, trainers: int = TRAINERS) -> Model:
     """Learns from every text of docs (null: empty)."""
     vocabulary = staged(count(docs), "vocabulary")
-    top = vocabulary.orderBy(F.desc("n"), "id").limit(head).toPandas().sort_values("id")
+    top = commonest(vocabulary, head)
     slots = vocabulary.groupBy(F.col("id").bitwiseAND(F.lit(_SLOTS - 1)).alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toPandas()
     tokens, words = np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int64)
     tokens[slots["slot"]], words[slots["slot"]] = slots["n"], slots["words"]
@@ -238,6 +272,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kind = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("path", pa.float64()), ("shares", pa.float64()), ("known", pa.int64()), ("rare", pa.list_(pa.int64()))])
 
     def run(batches):
+        take_memory("words", _forget)
         parts, (ids, counts), log_place = sent.value
         own, known = Weights(*parts), np.log10(counts + 1.0)
         for batch in batches:
@@ -251,16 +286,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield scored(own, ids, known, log_place, held, rid.slice(start, at - start), doc_id.slice(start, at - start), out.slice(start, at - start))
 
     def scored(own, ids, known, log_place, held, rid, doc_id, out):
-        line, at = line_of(held)
-        path = np.empty(len(at))
-        for k in range(0, len(at), BATCH):
-            kinds, places, rows = features(line, at[k : k + BATCH])
-            a, b = logits(own, kinds, rows)
+        line, keep = line_of(held)
+        path = np.zeros(len(line))
+        for k in range(2, len(line), BATCH):
+            end = min(len(line), k + BATCH)
+            kinds, places, rows = features(line, k, end)
             i = np.arange(len(kinds))
-            for z in (a, b):
+            for z, y in zip(logits(own, kinds, rows), (kinds, places)):
                 z -= z.max(1, keepdims=True)
-            path[k : k + BATCH] = a[i, kinds] - np.log(np.exp(a).sum(1)) + b[i, places] - np.log(np.exp(b).sum(1))
-        words = line[at]
+                path[k:end] += z[i, y] - np.log(np.exp(z).sum(1))
+        words, path = line[keep], path[keep]
         path = path / np.log(10) - log_place[words & (_SLOTS - 1)]
         sizes = np.array([len(x) for x in held])
         starts = np.cumsum(np.append(0, sizes[:-1]))
