@@ -190,7 +190,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.int64()) for k in out]))
 
     # A hash that two texts share would only repeat a lookup: doc_id is part of the key, and equal rows have equal sums.
-    wanted = torn.groupBy("row", "doc_id").agg(F.collect_list(F.struct("start", "length")).alias("parts"))
+    # Written first, so that its size is known: a few rows are sent to the texts, many are joined by a shuffle.
+    wanted = staged(torn.groupBy("row", "doc_id").agg(F.collect_list(F.struct("start", "length")).alias("parts")), "torn")
     once = rows.join(wanted.withColumnRenamed("row", "r").withColumnRenamed("doc_id", "d"), (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")))
     found = once.dropDuplicates(["row", "doc_id"]).select("row", "doc_id", "text", "parts").mapInArrow(sums_of, "row long, doc_id long, start long, length long, crc long")
     found = found.select(F.col("row").alias("r"), F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("length").alias("n"), "crc")
