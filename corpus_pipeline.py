@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import language, mixing, packing, quality, simhash
+from lodestone.llm import language, mixing, packing, quality, shingles
 from lodestone.llm.common import scratch, tokenizer_file
 
 #: A document whose best language has less than this many times an even share of all languages' hits is rejected, and any without letters.
@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.accepted(docs, 5, LIFT)
 
 
-def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return shingles.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, window=2048)
 
 
-STAGES = [("quality rules", quality_rules), ("language id", language_id), ("simhash near-dedup", simhash_dedup), ("mixing sources", mix_sources), ("packing", pack_sequences)]
+STAGES = [("quality rules", quality_rules), ("language id", language_id), ("near-dedup", near_dedup), ("mixing sources", mix_sources), ("packing", pack_sequences)]
 
 #: Tokens, trained filters and fingerprint components are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
