@@ -139,7 +139,7 @@ def accept_fold(spark, d):
 
 
 def _claims(spark, d):
-    return sources(spark, d).select(F.col("doc_id").alias("id"), F.col("uri").alias("grp"), tx.numeric_claim(F.substring("body", 1, 3000), F.lit("")).alias("claim"))
+    return sources(spark, d).select(F.col("doc_id").alias("id"), F.col("uri").alias("grp"), tx.numeric_claim(F.col("body"), F.lit("")).alias("claim"))
 
 
 def detect_conflicts(spark, d):
