@@ -59,6 +59,27 @@ def greedy_merges(pairs: list[tuple[float, int, int]], most: int | None = None)
     return out
 
 
+def merged_greedily(pairs: DataFrame) -> DataFrame:
+    """(winner, loser) of greedy_merges over any number of pairs (a, b, cosine), in its order; the pairs stay in DataFrames.
+
+    A cluster goes only as a loser. So a pair merges if no earlier undecided pair has its winner or its loser as the loser;
+    then the loser's later pairs drop out, and its earlier ones, in which it wins, stay. The first pair left
+    always merges, so the rounds end.
+    """
+    rank = F.struct((-F.col("cosine")).alias("c"), F.col("a").alias("a"), F.col("b").alias("b"))
+    left = pairs.select(F.least("a", "b").alias("winner"), F.greatest("a", "b").alias("loser"), rank.alias("rank")).localCheckpoint()
+    done = left.limit(0)
+    while not left.isEmpty():
+        first = left.groupBy("loser").agg(F.min("rank").alias("first"))
+        at = left.join(first, "loser").join(first.select(F.col("loser").alias("winner"), F.col("first").alias("before")), "winner", "left")
+        now = at.where((F.col("rank") == F.col("first")) & (F.col("before").isNull() | (F.col("rank") < F.col("before")))).select("winner", "loser", "rank").localCheckpoint()
+        gone = now.select(F.col("loser").alias("gone"), F.col("rank").alias("at"))
+        rest = left.join(gone.select(F.col("gone").alias("loser")), "loser", "left_anti").join(gone.withColumnRenamed("gone", "winner"), "winner", "left")
+        left = rest.where(F.col("at").isNull() | (F.col("rank") < F.col("at"))).select("winner", "loser", "rank").localCheckpoint()
+        done = done.unionByName(now).localCheckpoint()
+    return done.orderBy("rank").select("winner", "loser")
+
+
 def conflicts(claims: DataFrame, group: str) -> DataFrame:
     """(group, a, b): members (id, claim) of a group whose numbers differ, a < b; equal claims are one class each, named by its least id."""
     c = claims.where("claim <> ''").groupBy(group, "claim").agg(F.min("id").alias("id"))

@@ -100,18 +100,20 @@ _COS = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / s
 _PAIRS = f"p AS (SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, {_COS} AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE cosine >= 0.35)"
 
 
-def tidy_pairs(spark, d):
-    """Close pairs of clusters of one topic, in the order in which they would merge."""
+def _close_in_topic(spark, d):
     v = read(spark, d, "embeddings").select("vec_id", "embedding", "label")
     l = v.select("vec_id", "label")
-    p = ix.close_pairs(v, 0.35).join(l.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), "a").join(l.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b").where("la = lb")
-    return p.select("a", "b", "cosine", F.row_number().over(W.orderBy(F.desc("cosine"), "a", "b")).alias("place")).orderBy("place").limit(100)
+    return ix.close_pairs(v, 0.35).join(l.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), "a").join(l.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b").where("la = lb").select("a", "b", "cosine")
+
+
+def tidy_pairs(spark, d):
+    """The hundred closest pairs of clusters of one topic, in the order in which they would merge."""
+    return _close_in_topic(spark, d).select("a", "b", "cosine", F.row_number().over(W.orderBy(F.desc("cosine"), "a", "b")).alias("place")).orderBy("place").limit(100)
 
 
 def tidy_run(spark, d):
-    """The greedy merges over the hundred closest pairs."""
-    rows = [(r["cosine"], r["a"], r["b"]) for r in tidy_pairs(spark, d).collect()]  # a hundred
-    return spark.createDataFrame(kn.greedy_merges(rows), "winner long, loser long")
+    """The greedy merges over all close pairs."""
+    return kn.merged_greedily(_close_in_topic(spark, d))
 
 
 def fold_into(spark, d):
