@@ -2,8 +2,8 @@
 
 A word is scored as P(class | history) * P(place in class | class, history) * P(word | class, place). Its class is a hash
 of its ending and its place a hash of the word; both softmaxes are log-linear in hashed features of the words before: the
-last word, the one before it with the last skipped, and the pair of their classes for the class; the pair of the own
-and the last word's class for the place. The third factor shares a place out among its words by add-one counts, one share being for all unseen
+last word, the one before it with the last skipped, the pair of their classes and the pair of classes two words further
+back for the class; the pairs of the own class with the last word's and with that of the one before for the place. The third factor shares a place out among its words by add-one counts, one share being for all unseen
 words. Counts cover every training token. The weights are trained in rounds over disjoint parts of the training rows:
 each trainer takes AdaGrad steps over its rows from common weights, and the changes are averaged, by tokens, in a
 two-level tree. Weights have a fixed size, whatever the corpus.
@@ -105,7 +105,7 @@ def count(docs: DataFrame) -> DataFrame:
 class Weights:
     """The tables of both softmaxes, float32."""
 
-    SHAPES = ((ROWS, CLASSES), (ROWS, CLASSES), (CLASSES * CLASSES, CLASSES), (CLASSES * CLASSES, PLACES))
+    SHAPES = ((ROWS, CLASSES), (ROWS, CLASSES), (CLASSES * CLASSES, CLASSES), (CLASSES * CLASSES, CLASSES), (CLASSES * CLASSES, PLACES), (CLASSES * CLASSES, PLACES))
 
     def __init__(self, tables: list[np.ndarray], class_bias: np.ndarray, place_bias: np.ndarray):
         self.tables, self.class_bias, self.place_bias = tables, class_bias.astype(np.float32), place_bias.astype(np.float32)
@@ -128,12 +128,12 @@ class Weights:
 
 
 def features(line: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Class, place and rows of the tables for the words of a line from start (2 at least) to end."""
-    own = line[start - 2 : end]
+    """Class, place and rows of the tables for the words of a line from start (4 at least) to end."""
+    own = line[start - 4 : end]
     kind = ((own >> 5) & (CLASSES - 1)).astype(np.uint16)
     row = ((own >> 10) & (ROWS - 1)).astype(np.uint16)
-    k0, k1, k2 = kind[2:], kind[1:-1], kind[:-2]
-    return k0, (own[2:] & (PLACES - 1)).astype(np.uint16), [row[1:-1], row[:-2], k1 * CLASSES + k2, k0 * CLASSES + k1]
+    k0, k1, k2, k3, k4 = kind[4:], kind[3:-1], kind[2:-2], kind[1:-3], kind[:-4]
+    return k0, (own[4:] & (PLACES - 1)).astype(np.uint16), [row[3:-1], row[2:-2], k1 * CLASSES + k2, k3 * CLASSES + k4, k0 * CLASSES + k1, k0 * CLASSES + k2]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -148,32 +148,34 @@ def logits(w: Weights, own: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndar
     a = t[0][rows[0]]
     a += t[1][rows[1]]
     a += t[2][rows[2]]
+    a += t[3][rows[3]]
     a += w.class_bias
-    b = t[3][rows[3]]
+    b = t[4][rows[4]]
+    b += t[5][rows[5]]
     b += w.place_bias[own]
     return a, b
 
 
 def line_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts in one line of words, two starts before each, and which of the line are words of the texts."""
-    pad = np.full(2, number(_BEFORE), np.int64)
+    """Texts in one line of words, four starts before each, and which of the line are words of the texts."""
+    pad = np.full(4, number(_BEFORE), np.int64)
     line = np.concatenate([x for t in texts for x in (pad, t)])
     keep = np.ones(len(line), bool)
-    starts = np.cumsum([0, *(len(t) + 2 for t in texts[:-1])])
-    keep[(starts[:, None] + np.arange(2)).ravel()] = False
+    starts = np.cumsum([0, *(len(t) + 4 for t in texts[:-1])])
+    keep[(starts[:, None] + np.arange(4)).ravel()] = False
     return line, keep
 
 
 def train(w: Weights, line: np.ndarray, keep: np.ndarray, sums: list[np.ndarray], rate: float = RATE) -> None:
     """AdaGrad steps over batches of the words of a line; changes w and sums."""
-    for k in range(2, len(line), BATCH):
+    for k in range(4, len(line), BATCH):
         end = min(len(line), k + BATCH)
         own, place, rows = features(line, k, end)
         if not keep[k:end].all():
             own, place, rows = own[keep[k:end]], place[keep[k:end]], [r[keep[k:end]] for r in rows]
         a, b = logits(w, own, rows)
         i = np.arange(len(own))
-        for z, y, which in ((a, own, (0, 1, 2)), (b, place, (3,))):
+        for z, y, which in ((a, own, (0, 1, 2, 3)), (b, place, (4, 5))):
             g = _softmax(z)
             g[i, y] -= 1
             for f in which:
@@ -288,7 +290,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scored(own, ids, known, log_place, held, rid, doc_id, out):
         line, keep = line_of(held)
         path = np.zeros(len(line))
-        for k in range(2, len(line), BATCH):
+        for k in range(4, len(line), BATCH):
             end = min(len(line), k + BATCH)
             kinds, places, rows = features(line, k, end)
             i = np.arange(len(kinds))
