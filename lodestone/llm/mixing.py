@@ -53,7 +53,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     Rows are mixed one by one: repeated rows each have a place of their own, and which of equal rows comes first
     doesn't matter. No documents give no rows. keep: further columns to carry.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(7), F.col("doc_id"), F.col("text")).alias("key"), *[F.col(k).alias(f"keep_{k}") for k in keep])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(7), F.col("doc_id"), F.col("text")).alias("key"), *[F.col(f"`{k}`").alias(f"keep_{k}") for k in keep])
     rows = rows.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, limit, lean)
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     copies = F.filter(F.array(*[copy(k) for k in range(int(limit) + (limit % 1 > 0))]), lambda x: x["words"] > 0)
     rows = rows.withColumn("takes", copies)
     taken = F.aggregate("takes", F.lit(0).cast("long"), lambda n, x: n + x["words"])
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "takes", *[F.col(f"keep_{k}").alias(k) for k in keep])
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "takes", *[F.col(f"`keep_{k}`").alias(k) for k in keep])
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -85,9 +85,18 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The training stream: the columns of docs, a row for each copy that the mix takes, sorted by position over all partitions."""
-    names = [c for c in docs.columns if c not in ("doc_id", "source")]
-    rows = mix(docs, keep=tuple(names), **options).select("doc_id", "source", *names, "size", F.explode("takes").alias("take"))
-    cut = F.when(F.col("take.words") < F.col("size"), first_words(F.col("text"), F.col("take.words"))).otherwise(F.col("text"))
-    rows = rows.withColumns({"text": cut, "position": F.col("take.position")}).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
-    return rows.select(*docs.columns)
+    """The training stream: the columns of docs, a row for each copy that the mix takes, sorted by position over all partitions.
+
+    A null text and a null source are as in mix(): no words, so no row, and a source of its own. A text of which the mix
+    takes a part is cut there. Repeated rows are mixed one by one. Columns keep their values whatever their names; only
+    doc_id, source and text mean anything here. An empty table gives an empty one.
+    """
+    names = list(docs.columns)
+    own = docs.select("doc_id", "source", "text", *[F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(names)])
+    rows = mix(own, keep=tuple(f"own_{k}" for k in range(len(names))), **options)
+    rows = rows.withColumn("take", F.explode("takes")).drop("takes")
+    text = F.col(f"own_{names.index('text')}")
+    cut = F.when(F.col("take.words") < F.col("size"), first_words(text, F.col("take.words"))).otherwise(text)
+    rows = rows.withColumns({f"own_{names.index('text')}": cut, "position": F.col("take.position")})
+    rows = rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return rows.select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(names)])

@@ -97,3 +97,10 @@ def judged(docs: DataFrame, thresholds=THRESHOLDS, stop_words: list[str] = STOP_
     """
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measures(docs, stop_words).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(thresholds))
+
+
+def passed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that judged() keeps, with all their columns unchanged, whatever their names."""
+    names = list(docs.columns)
+    own = docs.select(F.col("text"), *[F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(names)])
+    return judged(own, **options).where("kept").select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(names)])
