@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import in_batches, staged
 
 #: Fixed values of the template.
 START, END, LOSS_ROLE = "<|im_start|>", "<|im_end|>\n", "assistant"
@@ -169,7 +169,7 @@ def trees(conversations: DataFrame, tree_chars: int = TREE_CHARS, tree_leaves: i
     kind = pa.schema([("tree_id", pa.int64()), ("stream", pa.string()), ("nodes", pa.list_(node)), ("leaves", pa.list_(pa.struct([("conv_id", pa.int64()), ("node", pa.int32())])))])
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    paths = rows.mapInArrow(gather, "conv_id long, path binary, turns array<struct<role:string,text:string>>")
+    paths = in_batches(rows, gather, "conv_id long, path binary, turns array<struct<role:string,text:string>>")
     return paths.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns").mapInArrow(grow, TREE)
 
 

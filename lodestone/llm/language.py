@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, take_memory
+from .common import held_out, in_batches, take_memory
 
 SIZES, SLOTS, HASHES = (2, 3, 4), 1 << 20, 3
 #: The filters are fitted on about this many labelled rows of each language, chosen by a hash of their id and text.
@@ -144,9 +144,9 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             pred, score, at = [], [], 0
-            while at < len(texts):  # about a quarter of a million characters at once
+            while at < len(texts):  # some ten thousand words at once
                 end, chars = at, 0
-                while end < len(texts) and (end == at or chars < 1 << 18):
+                while end < len(texts) and (end == at or chars < 1 << 16):
                     chars += len(texts[end] or "")
                     end += 1
                 part = texts[at:end]
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, [*names, "lang_pred", "score"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names]
-    return docs.select(*names, F.col("text").alias("_text")).mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return in_batches(docs.select(*names, F.col("text").alias("_text")), run, ", ".join([*fields, "lang_pred string", "score double"]))
 
 
 def identify(docs: DataFrame, modulus: int = 5, **options) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import encoder, staged
+from .common import encoder, in_batches, staged
 
 WINDOW, BUCKETS = 2048, 256
 PIECES = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int"
@@ -128,7 +128,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDO
                     turn += 1
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.int32() if k == "bucket" else pa.int64()) for k in out]))
 
-    return docs.select("row", "doc_id", "text").mapInArrow(cut, PIECES)
+    return in_batches(docs.select("row", "doc_id", "text"), cut, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, spaced: bool = True, buckets: int = BUCKETS) -> DataFrame:
@@ -193,7 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
     # Written first, so that its size is known: a few rows are sent to the texts, many are joined by a shuffle.
     wanted = staged(torn.groupBy("row", "doc_id").agg(F.collect_list(F.struct("start", "length")).alias("parts")), "torn")
     once = rows.join(wanted.withColumnRenamed("row", "r").withColumnRenamed("doc_id", "d"), (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    found = once.dropDuplicates(["row", "doc_id"]).select("row", "doc_id", "text", "parts").mapInArrow(sums_of, "row long, doc_id long, start long, length long, crc long")
+    found = in_batches(once.dropDuplicates(["row", "doc_id"]).select("row", "doc_id", "text", "parts"), sums_of, "row long, doc_id long, start long, length long, crc long")
     found = found.select(F.col("row").alias("r"), F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("length").alias("n"), "crc")
     same = (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") == F.col("s")) & (F.col("length") == F.col("n"))
     done = placed.where("ids_crc32 is null").join(found, same).select(*names[:3], F.col("crc").alias("ids_crc32"), *names[4:7])

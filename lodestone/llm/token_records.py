@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import encoder, join_path, make_dirs, open_fs
+from .common import encoder, in_batches, join_path, make_dirs, open_fs
 
 #: Fixed values of the format.
 MAGIC = b"LSTNIDX1"
@@ -80,28 +80,31 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, s
         e = encoder(tokenizer, spaced)
         end = np.array([end_id], dtype=e.dtype).tobytes()
         shard, name = task.partitionId(), join_path(path, f"shards/shard-{task.partitionId():06d}-{task.taskAttemptId()}")
-        index, at, before, out, sink = [], 0, 0, None, None
+        index, at, before, n_records, out, sink = [], 0, 0, 0, None, None
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 if out is None:
                     system, place = open_fs(name)
-                    out = system.open_output_stream(f"{place}.rec", buffer_size=1 << 20)
+                    out, sink = system.open_output_stream(f"{place}.rec", buffer_size=1 << 20), system.open_output_stream(f"{place}.idx", buffer_size=1 << 16)
+                    sink.write(MAGIC)
                 ids = e.encode(text or b"") + end
                 record = frame(payload_of(doc_id, ids, e.width))
                 out.write(record)
                 n = len(ids) // e.width
                 index.append((doc_id is not None, doc_id or 0, at, before, n))
-                at, before = at + len(record), before + n
+                at, before, n_records = at + len(record), before + n, n_records + 1
+            if out is not None:
+                sink.write(np.array(index, dtype=INDEX).tobytes())
+                index = []
         if out is None:
             return
         out.close()
-        with system.open_output_stream(f"{place}.idx") as sink:
-            sink.write(MAGIC + np.array(index, dtype=INDEX).tobytes())
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [name], "n_records": [len(index)], "n_ids": [before], "bytes": [at]})
+        sink.close()
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [name], "n_records": [n_records], "n_ids": [before], "bytes": [at]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    rows.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
+    in_batches(rows, write, MANIFEST).write.parquet(f"{path}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 

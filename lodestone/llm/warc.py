@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_path, make_dirs, open_fs
+from .common import in_batches, join_path, make_dirs, open_fs
 
 #: Fixed values of the formats.
 GZIP = b"\x1f\x8b\x08"
@@ -83,7 +83,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 1000, level: int = 3) -
             yield pa.RecordBatch.from_pydict({"path": [name], "bytes": [at], "n_records": [n]})
 
     rows = roles(pages, least).select("page_id", "url", "payload", "payload_digest", "refers_to")
-    rows.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
+    in_batches(rows, write, MANIFEST).write.parquet(f"{path}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
@@ -94,9 +94,10 @@ class _Window:
         stream.seek(at)
         self.stream, self.at, self.data, self.over = stream, at, b"", False
 
-    def more(self, size: int = CHUNK) -> bool:
+    def more(self) -> bool:
+        """Reads on, by as much as is held already: a member of any size is copied a constant number of times."""
         if not self.over:
-            got = self.stream.read(size)
+            got = self.stream.read(max(CHUNK, len(self.data)))
             self.over = not got
             self.data += got
         return not self.over
