@@ -1,6 +1,7 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash finds candidates, the whole sets decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and MinHash find candidates, the whole sets decide.
 
-A text is the set of its lower-cased shingles of five words. Equal sets are one entry. Each set gives BANDS terms of ROWS
+A text is the set of its lower-cased shingles of five words. Equal sets are one entry. Sets whose SimHash fingerprints
+differ in at most four bits meet through the byte-position index of simhash.py. Each set also gives BANDS terms of ROWS
 minima each; two sets meet in a list if they share a term, which a pair of Jaccard s does with probability
 1 - (1 - s^ROWS)^BANDS: all but 1.3e-7 of pairs at 0.8, and fewer are missed above. Candidates are then compared by their whole
 sets, so nothing below the bound is linked. In a list every member is compared with the list's least one first; only
@@ -13,8 +14,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, take_memory
+from .common import in_batches, staged, take_memory
 from .components import components
+from .simhash import bits_over_half, links
 
 WIDTH, LEAST, SEED = 5, 0.8, 42
 BANDS, ROWS = 40, 5
@@ -23,15 +25,20 @@ _SALT, _TIMES, _JOIN = _DRAWN[0], _DRAWN[1] | np.uint64(1), _DRAWN[2].reshape(BA
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
-    """The sorted set of the XXH64 hashes of a text's shingles; a shorter text is one shingle, a wordless one has none."""
+def hashes(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """The XXH64 hashes of a text's shingles in order; a shorter text is one shingle, a wordless one has none."""
     from xxhash import xxh64_intdigest
 
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
     parts = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[k:] for k in range(width))))
-    return np.unique(np.fromiter((xxh64_intdigest(x, SEED) for x in parts), np.uint64))
+    return np.fromiter((xxh64_intdigest(x, SEED) for x in parts), np.uint64)
+
+
+def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """The sorted set of a text's hashes."""
+    return np.unique(hashes(text, width))
 
 
 def terms(found: np.ndarray) -> np.ndarray:
@@ -39,8 +46,10 @@ def terms(found: np.ndarray) -> np.ndarray:
     if not len(found):
         return np.empty(0, np.uint64)
     least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for k in range(0, len(found), 512):
-        least = np.minimum(least, ((found[k : k + 512, None] ^ _SALT) * _TIMES).min(0))
+    for k in range(0, len(found), 256):
+        drawn = found[None, k : k + 256] ^ _SALT[:, None]
+        drawn *= _TIMES[:, None]
+        least = np.minimum(least, drawn.min(1))
     h = ((least.reshape(BANDS, ROWS) ^ least.reshape(BANDS, ROWS) >> np.uint64(29)) * _JOIN).sum(1, dtype=np.uint64)
     return (h ^ h >> np.uint64(31)) * _MIX
 
@@ -51,25 +60,27 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _entries(marked: DataFrame) -> DataFrame:
-    """(doc_id, _row, fp, n, terms) of each row: fp names the set, n is its size."""
+    """(doc_id, _row, fp, n, print, terms) of each row: fp names the set, n is its size, print its SimHash fingerprint."""
     import pyarrow as pa
     from xxhash import xxh64_intdigest
 
     def run(batches):
         take_memory("shingles")
         for batch in batches:
-            names, sizes, own = [], [], []
+            names, sizes, prints, own = [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
-                found = shingles(text)
+                every = hashes(text)
+                found = np.unique(every)
+                prints.append(bits_over_half(every))
                 names.append(xxh64_intdigest(found.tobytes(), SEED)), sizes.append(len(found)), own.append(terms(found))
             edges = np.append(0, np.cumsum([len(x) for x in own])).astype(np.int32)
             flat = np.concatenate(own) if own else np.empty(0, np.uint64)
-            columns = [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "_row", "fp", "n", "terms"])
+            columns = [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "_row", "fp", "n", "print", "terms"])
 
     id_type = marked.schema["doc_id"].dataType.simpleString()
     rows = marked.select("doc_id", "_row", F.col("text").cast("string").alias("text"))
-    return staged(rows.mapInArrow(run, f"doc_id {id_type}, _row long, fp long, n long, terms array<long>"), "shingles")
+    return staged(in_batches(rows, run, f"doc_id {id_type}, _row long, fp long, n long, print long, terms array<long>"), "shingles")
 
 
 def _lists(own: DataFrame) -> DataFrame:
@@ -101,7 +112,29 @@ def _lists(own: DataFrame) -> DataFrame:
     return staged(index.mapInArrow(run, "term long, fp long, n long, root long, root_n long"), "lists")
 
 
-def _near(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _alike(own: DataFrame) -> DataFrame:
+    """(u, v) of sets that share a fingerprint with the least set of theirs, and of least sets whose fingerprints the byte-position index links."""
+    least = own.groupBy("print").agg(F.min("fp").alias("least"))
+    same = own.join(least, "print").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    x, y = (least.select(F.col("print").alias(c), F.col("least").alias(f"least_{c}")) for c in "uv")
+    linked = links(least.select(F.col("print").alias("fp"))).join(x, "u").join(y, "v").select(F.greatest("least_u", "least_v").alias("u"), F.least("least_u", "least_v").alias("v"))
+    return same.unionByName(linked).distinct()
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(fp, found): the sorted set of each text's hashes, as bytes, worked out once for all pairs that it is in."""
+    import pyarrow as pa
+
+    def run(batches):
+        take_memory("shingles")
+        for batch in batches:
+            found = [shingles(x).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["fp", "found"])
+
+    return staged(in_batches(texts.select("fp", "text"), run, "fp long, found binary"), "sets")
+
+
+def _near(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(u, v) of those pairs (u, v) whose sets' Jaccard is at least so much."""
     import pyarrow as pa
 
@@ -109,17 +142,13 @@ def _near(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         take_memory("shingles")
         for batch in batches:
             u, v = (batch.column(k).to_numpy() for k in range(2))
-            a, b = (batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
-            keep, lately = np.zeros(len(u), bool), (None, None)
-            for k in range(len(u)):
-                if lately[0] != v[k]:
-                    lately = v[k], shingles(b[k])
-                keep[k] = jaccard(shingles(a[k]), lately[1]) >= least
+            a, b = (batch.column(k).to_pylist() for k in (2, 3))
+            keep = np.fromiter((jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(a, b)), bool, len(u))
             yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], ["u", "v"])
 
-    x, y = (texts.select(F.col("fp").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
-    both = pairs.join(x, "u").join(y, "v").select("u", "v", "text_u", "text_v")
-    return staged(both.mapInArrow(run, "u long, v long"), "near")
+    x, y = (sets.select(F.col("fp").alias(c), F.col("found").alias(f"found_{c}")) for c in "uv")
+    both = pairs.join(x, "u").join(y, "v").select("u", "v", "found_u", "found_v")
+    return staged(in_batches(both, run, "u long, v long"), "near")
 
 
 def _sized(small: str, large: str, least: float):
@@ -135,21 +164,22 @@ def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
     names = list(docs.columns)
     marked = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in names]))
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
-    own = staged(_entries(marked).groupBy("fp").agg(F.min(first).alias("holder"), F.first("n").alias("n"), F.first("terms").alias("terms")), "sets")
+    own = staged(_entries(marked).groupBy("fp").agg(F.min(first).alias("holder"), F.first("n").alias("n"), F.min("print").alias("print"), F.first("terms").alias("terms")), "sets")
     lists = _lists(own)
-    members = lists.select("fp").distinct().join(own.select("fp", "holder"), "fp").select("fp", F.col("holder.row").alias("_r"), F.col("holder.doc_id").alias("_d"))
+    alike = staged(_alike(own), "alike")
+    members = lists.select("fp").unionByName(alike.select(F.col("u").alias("fp"))).unionByName(alike.select(F.col("v").alias("fp"))).distinct().join(own.select("fp", "holder"), "fp").select("fp", F.col("holder.row").alias("_r"), F.col("holder.doc_id").alias("_d"))
     texts = marked.select("doc_id", "_row", "text").join(members, (F.col("_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("fp", F.col("text").cast("string").alias("text"))
-    texts = staged(texts.dropDuplicates(["fp"]), "texts")
+    sets = _sets(texts.dropDuplicates(["fp"]))
 
-    star = staged(lists.where(F.col("fp") != F.col("root")).where(_sized("n", "root_n", least)).select(F.col("fp").alias("u"), F.col("root").alias("v")).distinct(), "pairs")
-    links = _near(star, texts, least)
-    found = components(links)
+    star = staged(lists.where(F.col("fp") != F.col("root")).where(_sized("n", "root_n", least)).select(F.col("fp").alias("u"), F.col("root").alias("v")).unionByName(alike).distinct(), "pairs")
+    near = _near(star, sets, least)
+    found = components(near)
     rest = lists.where(F.col("fp") != F.col("root")).join(found, F.col("fp") == F.col("node"), "left").select("term", "fp", "n", F.coalesce("label", "fp").alias("label"))
     split = rest.groupBy("term").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("term")
     rest = staged(rest.join(split, "term", "left_semi"), "lists")
     x, y = (rest.select("term", F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("label").alias(f"label_{c}")) for c in "uv")
     more = x.join(y, "term").where("u > v and label_u <> label_v").where(_sized("n_u", "n_v", least)).select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
-    found = components(links.unionByName(_near(more, texts, least)))
+    found = components(near.unionByName(_near(more, sets, least)))
 
     named = own.join(found, F.col("fp") == F.col("node"), "left").select(F.coalesce("label", "fp").alias("component"), "holder")
     kept = named.groupBy("component").agg(F.min("holder").alias("holder")).select(F.col("holder.row").alias("_r"), F.col("holder.doc_id").alias("_d"))
