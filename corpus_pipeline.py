@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import language, mixing, packing, quality, shingles
+from lodestone.llm import language, mixing, packing, quality, simhash
 from lodestone.llm.common import scratch, tokenizer_file
 
 #: A document whose best language has less than this many times an even share of all languages' hits is rejected, and any without letters.
@@ -12,26 +12,31 @@ LIFT = 1.15
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judged(docs).where("kept").select(*docs.columns)
+    """The documents that keep all quality rules. Null and blank texts go; columns keep their values whatever their names."""
+    return quality.passed(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose language can be told, learned from the labelled ones among them; all, if none is labelled."""
     return language.accepted(docs, 5, LIFT)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shingles.one_of_each(docs)
+    """One document, that with the least doc_id, of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
+    return simhash.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy of a document that the mixture takes, in the order of training."""
     return mixing.mixture(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids and their places in sequences of at most 2048."""
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, window=2048)
 
 
-STAGES = [("quality rules", quality_rules), ("language id", language_id), ("near-dedup", near_dedup), ("mixing sources", mix_sources), ("packing", pack_sequences)]
+STAGES = [("quality rules", quality_rules), ("language id", language_id), ("simhash near-dedup", near_dedup), ("mixing sources", mix_sources), ("packing", pack_sequences)]
 
 #: Tokens, trained filters and fingerprint components are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
