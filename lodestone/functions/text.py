@@ -29,10 +29,19 @@ def topic_key(text: Column) -> Column:
     return F.substring(F.sha2(F.array_join(unigrams(text), "|"), 256), 1, 16)
 
 
+#: Unicode white space other than the line end, as a regular expression's characters; fixed values.
+BLANKS = r" \t\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def trim(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, f"^[{BLANKS}\\n\\r]+|[{BLANKS}\\n\\r]+$", "")
+
+
 def normalize(text: Column) -> Column:
     """Without NUL, line ends as \\n, runs of other white space as one space, trimmed."""
     t = F.regexp_replace(F.regexp_replace(text, "\x00", ""), "\r\n?", "\n")
-    t = F.regexp_replace(t, r"[ \t\x0b\x0c\x85\xa0]+", " ")
+    t = F.regexp_replace(t, f"[{BLANKS}]+", " ")
     return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
 
 
@@ -42,17 +51,17 @@ def digest(text: Column) -> Column:
 
 def extract_html(html: Column) -> Column:
     """Plain text of a page: scripts, styles and comments to a space, breaks and block ends to line ends, other tags dropped, entities decoded with &amp; last."""
-    steps = ((r"(?is)<(script|style)\b.*?</(script|style)>", " "), (r"(?s)<!--.*?-->", " "), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|h[1-6]|li|tr|section|article)>", "\n"), (r"<[^>]+>", ""))
+    steps = ((r"(?is)<(script|style)[^>]*>.*?</(script|style)[^>]*>", " "), (r"(?s)<!--.*?-->", " "), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|li|tr|h[1-6]|section|article|blockquote|table)>", "\n"), (r"<[^>]+>", ""))
     t = html
     for pattern, by in steps:
         t = F.regexp_replace(t, pattern, by)
     for entity, by in ENTITIES:
         t = F.replace(t, F.lit(entity), F.lit(by))
-    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    return trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
 #: Fixed values, in the order of decoding.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&mdash;", "—"), ("&amp;", "&"))
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
 
 def share_of(text: Column, pattern: str) -> Column:

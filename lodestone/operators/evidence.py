@@ -11,7 +11,8 @@ from ..functions import text as tx
 WINDOW, WHOLE, LARGE, KEEP, BUDGET = 480, 100_000, 15_000, 4.0, 15_000
 
 #: Where a compound question is cut, and what licenses or forbids a list of requirements.
-CUTS = ["以及", "并且", "同时", "另外", "此外", "相比", "对比", "还是", "或者", "(?<=.{2})[和与及](?=.{2})", " and ", " and/or ", " or ", " vs ", " versus ", " compared ", "；", ";"]
+CUTS = ["以及", "并且", "同时", "另外", "此外", "相比", "对比", "还是", "或者", "和", "与", "及", " and ", " and/or ", " or ", " vs ", " versus ", " compared ", "；", ";"]
+SINGLE = ["和", "与", "及"]
 COORDINATION = ["分别", "各自", "以及", "同时", "还有", "此外", "另外"]
 ALTERNATIVE = ["或者", "或是", "还是", "或则"]
 OPENING, CLOSING, AMBIGUOUS = "《〈（([【{“‘", "》〉）)]】}”’", "\"'"
@@ -27,10 +28,76 @@ def slice_of(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
-def whole_file(pairs: DataFrame, text: str) -> DataFrame:
-    """pairs with start and end of the one window of texts up to 100,000 characters; longer ones drop out."""
+def densest_start(tokens: Column, text: Column, size: int) -> Column:
+    """Where the window of so many characters begins that holds the most distinct tokens, by quarters of a window (ties: the earliest); the text's case is kept."""
+    own = F.array_distinct(tokens)
+    found = lambda s: F.size(F.filter(own, lambda t: F.contains(F.substring(text, s + 1, F.lit(size)), t)))
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - size, F.lit(0)), F.lit(size // 4))
+    best = F.array_max(F.transform(starts, lambda s: F.struct(found(s).alias("hits"), (-s).alias("at"))))
+    return -best["at"]
+
+
+def whole_file(pairs: DataFrame, tokens: str, text: str) -> DataFrame:
+    """pairs with start and end of the one window of texts up to 100,000 characters: all, or the densest 15,000. Longer texts are sampled()'s."""
+    n, long = F.length(text), F.length(text) > LARGE
+    start = F.when(long, densest_start(F.col(tokens), F.col(text), LARGE)).otherwise(0)
+    return pairs.where(n <= WHOLE).withColumns({"start": start, "end": F.when(long, start + LARGE).otherwise(n)})
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once for each row, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def sampled(tokens: Column, text: Column, rounds: int = 2, seeds: int = 3, seed: int = 42, spread: float = 180.0) -> Column:
+    """array<struct<start,end,score>>: the scored windows of a long text, best first within the budget.
+
+    A sweep of evenly spaced windows and of windows around the query's words, then rounds of windows around the best ones
+    so far and of scattered ones, drawn from hashes, so that reruns agree. Of windows with one start, the first counts.
+    """
+    n, half = F.length(text), WINDOW // 2
+    u = lambda *salt: (F.pmod(F.xxhash64(*map(F.lit, salt[:-1]), salt[-1], n), F.lit(1 << 30)) + 1) / float((1 << 30) + 2)
+
+    def scored(centre: Column) -> Column:
+        span = let(F.greatest(F.lit(0), F.least(centre.cast("int"), n)), lambda c: F.struct(F.greatest(F.lit(0), c - half).alias("start"), F.least(n, c + half).alias("end")))
+        return let(span, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), let(F.lower(slice_of(text, w["start"], w["end"])), lambda x: F.round(tx.keyword_score(tokens, x), 6)).alias("score")))
+
+    def ordered(windows: Column) -> Column:
+        once = F.filter(windows, lambda w, i: ~F.array_contains(F.transform(F.slice(windows, F.lit(1), i), lambda x: x["start"]), w["start"]))
+        best = F.array_sort(F.transform(once, lambda w: F.struct((-w["score"]).alias("low"), w["start"].alias("start"), w["end"].alias("end"))))
+        return F.transform(best, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), (-w["low"]).alias("score")))
+
+    def with_round(found: Column, r: int) -> Column:
+        def moved(w: Column) -> Column:
+            return let(F.floor((w["start"] + w["end"]) / 2), shifted)
+
+        def shifted(centre: Column) -> Column:
+            return centre + F.round(F.sqrt(-2 * F.log(u(seed, r, 1, centre))) * F.cos(u(seed, r, 2, centre) * 6.283185307179586) * spread)
+
+        near = F.transform(F.slice(found, 1, seeds), lambda w: scored(moved(w)))
+        far = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda k: scored(F.floor(u(seed, r, 3, k) * n)))
+        return let(F.concat(found, near, far), ordered)
+
+    def next_round(found: Column, r: int) -> Column:
+        return let(found, lambda x: with_round(x, r))
+
+    strata = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: scored(F.floor((2 * k + 1) * n / 10)))
+    words = F.transform(F.slice(F.array_distinct(tokens), 1, 5), lambda t: scored(F.when(F.instr(text, t) == 0, F.floor(n / 2)).otherwise(F.instr(text, t) - 1)))
+    found = let(F.concat(strata, words), ordered)
+    for r in range(rounds):
+        found = next_round(found, r)
+    size = lambda w: F.octet_length(slice_of(text, w["start"], w["end"])).cast("long")
+    begin = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<start:int,end:int,score:double>>").alias("w"))
+    return F.aggregate(found, begin, lambda s, w: F.when(s["n"] >= BUDGET, s).otherwise(F.struct((s["n"] + size(w)).alias("n"), F.concat(s["w"], F.array(w)).alias("w"))), lambda s: s["w"])
+
+
+def evidence_windows(tokens: Column, text: Column) -> Column:
+    """array<struct<start,end,score>> of a text: one window up to 100,000 characters, else the sampled ones."""
     n = F.length(text)
-    return pairs.where(n <= WHOLE).withColumns({"start": F.lit(0), "end": F.least(n, F.lit(LARGE))})
+    start = F.when(n > LARGE, densest_start(tokens, text, LARGE)).otherwise(0)
+    one = lambda s: F.struct(s.alias("start"), F.least(n, s + LARGE).alias("end"), let(F.lower(slice_of(text, s, F.least(n, s + LARGE))), lambda x: F.round(tx.keyword_score(tokens, x), 6)).alias("score"))
+    whole = F.transform(F.array(start), one)
+    return F.when(n <= WHOLE, whole).otherwise(sampled(tokens, text))
 
 
 def stratified(rows: DataFrame, text: str, k: int = 5) -> DataFrame:
@@ -93,9 +160,27 @@ def all_failed(scored: DataFrame, key: str) -> DataFrame:
 
 
 def decompose(query: Column, most: int = 4) -> Column:
-    """A compound question's parts in order, trimmed, at most four; the question itself if nothing is left."""
-    parts = F.slice(F.filter(F.transform(F.split(query, "(?i)" + "|".join(CUTS)), lambda p: F.trim(p)), lambda p: p != ""), 1, most)
-    return F.when(F.size(parts) == 0, F.array(query)).otherwise(parts)
+    """A compound question's parts in order, trimmed, at most four; the question itself if nothing is left.
+
+    The rest is cut at the first place of the mark that comes first (of marks at one place, the first of the list). A
+    mark of one character only counts if its first place leaves two characters or more on both sides.
+    """
+
+    def place(rest: Column, mark: str, k: int) -> Column:
+        at = F.instr(F.lower(rest), F.lit(mark))
+        good = at > 0 if mark not in SINGLE else (at > 2) & (F.length(rest) - at >= 2)
+        return F.when(good, F.struct(at.alias("at"), F.lit(k).alias("k"), F.lit(len(mark)).alias("n")))
+
+    def step(state: Column) -> Column:
+        first = F.array_min(F.array(*[place(state["rest"], m, k) for k, m in enumerate(CUTS)]))
+        left = tx.trim(F.substring(state["rest"], F.lit(1), first["at"] - 1))
+        cut = F.struct(F.substring(state["rest"], first["at"] + first["n"], F.length(state["rest"])).alias("rest"), F.when(left != "", F.concat(state["parts"], F.array(left))).otherwise(state["parts"]).alias("parts"))
+        return F.when(first.isNull(), state).otherwise(cut)
+
+    marks = F.size(F.split(F.lower(query), "|".join(CUTS)))
+    begin = F.struct(query.alias("rest"), F.array().cast("array<string>").alias("parts"))
+    done = F.aggregate(F.sequence(F.lit(1), marks), begin, lambda s, _: step(s), lambda s: F.when(tx.trim(s["rest"]) != "", F.concat(s["parts"], F.array(tx.trim(s["rest"])))).otherwise(s["parts"]))
+    return F.when(F.size(done) == 0, F.array(query)).otherwise(F.slice(done, 1, most))
 
 
 def is_unit(part: Column) -> Column:
@@ -193,12 +278,15 @@ def abstain(length: Column, candidates: Column, kept: Column, best: Column, miss
 
 
 def fast_answer(queries: DataFrame, docs: DataFrame, index, k: int = 5) -> DataFrame:
-    """The best windows of the k best documents of each query (item_id, query, tokens): score, coverage, confidence, citation."""
+    """The best windows of the k best documents of each query (item_id, query, tokens): score, coverage, confidence, citation.
+
+    A document of up to 100,000 characters is one window, its densest 15,000 where it is longer; longer ones are sampled.
+    """
     ranked = index.rank(queries, k).select("item_id", "doc_id", "rnk")
     pairs = queries.join(ranked, "item_id").join(docs.select("doc_id", "body"), "doc_id")
-    w = whole_file(pairs, "body").withColumn("content", slice_of(F.col("body"), F.col("start"), F.col("end")))
-    w = w.withColumn("score", F.round(tx.keyword_score(F.col("tokens"), F.col("content")), 6))
-    kept = within_budget(w.where(F.col("score") >= KEEP), ["item_id"], [F.desc("score"), F.col("rnk")], F.octet_length("content"))
+    w = pairs.withColumn("w", F.explode(evidence_windows(F.col("tokens"), F.col("body"))))
+    w = w.select("item_id", "rnk", "doc_id", "tokens", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.score").alias("score"), slice_of(F.col("body"), F.col("w.start"), F.col("w.end")).alias("content"))
+    kept = within_budget(w.where(F.col("score") >= KEEP), ["item_id"], [F.desc("score"), F.col("rnk"), F.col("start")], F.octet_length("content"))
     return kept.select("item_id", "rnk", "doc_id", "start", "end", "score", F.round(tx.coverage(F.col("tokens"), F.col("content")), 6).alias("coverage"), tx.confidence(F.col("score"), tx.coverage(F.col("tokens"), F.col("content"))).alias("confidence"))
 
 

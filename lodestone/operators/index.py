@@ -122,15 +122,34 @@ def close_pairs(vectors: DataFrame, least: float, block: int = 1024) -> DataFram
     return pairs.mapInArrow(run, "a long, b long, cosine double").withColumn("cosine", F.round("cosine", 6))
 
 
-def cascade(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc_id, score) by substring frequencies: sum of (1 + log2(N / df)) * (1 + log2(tf + 1)) over a query's distinct tokens.
+GRAM = 4
+
 
-    Queries' distinct terms meet each document once; occurrences are counted from the text by its own length arithmetic.
+def substring_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, term, tf): how often a document's lower-cased text contains each term, without overlaps, wherever it does.
+
+    A term is letters, digits and CJK alone, so it occurs inside a run of them. Runs and terms meet by the term's first
+    four characters (all, if fewer) among the run's substrings: distinct runs are searched, not the texts, and no text
+    meets all terms.
     """
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("body"), F.lit("[0-9a-z一-鿿]{2,}"), F.lit(0))).alias("run")).groupBy("doc_id", "run").agg(F.count("*").alias("c"))
+    keyed = terms.select("term", F.substring("term", 1, GRAM).alias("gram"))
+    n = F.length("run")
+
+    def grams_of(k: int) -> Column:
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("run"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    grams = F.array_distinct(F.flatten(F.array(*map(grams_of, range(2, GRAM + 1)))))
+    inside = runs.select("run").distinct().select("run", F.explode(grams).alias("gram")).join(keyed, "gram").where(F.contains("run", "term"))
+    inside = inside.select("run", "term", tx.occurrences(F.col("run"), F.col("term")).alias("k"))
+    return runs.join(inside, "run").groupBy("doc_id", "term").agg(F.sum(F.col("c") * F.col("k")).alias("tf"))
+
+
+def cascade(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id, score) by substring frequencies: sum of (1 + log2(N / df)) * (1 + log2(tf + 1)) over a query's distinct tokens."""
     terms = queries.select(F.explode(F.array_distinct("tokens")).alias("term")).distinct()
     n = docs.agg(F.count("*").alias("n"))
-    low = docs.select("doc_id", F.lower("body").alias("low"))
-    tf = low.join(terms, F.contains("low", "term")).select("doc_id", "term", tx.occurrences(F.col("low"), F.col("term")).alias("tf"))
+    tf = substring_counts(docs, terms)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     q = queries.select("item_id", F.explode(F.array_distinct("tokens")).alias("term"))
     part = (1 + F.log2(F.col("n") / F.col("df"))) * (1 + F.log2(F.col("tf") + 1))

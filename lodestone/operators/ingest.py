@@ -100,7 +100,23 @@ def stratified(rows: DataFrame, stratum: str, order: list[str], limit: int) -> D
 def overlay(rows: DataFrame, ranks: DataFrame, key: str, order: list[str]) -> DataFrame:
     """rows with place: externally ranked keys first, the others after them in their own order."""
     r = rows.join(ranks.groupBy(key).agg(F.min("rank").alias("rank")), key, "left")
-    return r.withColumn("place", F.row_number().over(W.orderBy(F.col("rank").asc_nulls_last(), *order))).drop("rank")
+    return numbered(r, [F.col("rank").asc_nulls_last(), *order], "rank", order[0]).drop("rank")
+
+
+def numbered(rows: DataFrame, order: list, first: str, second: str, parts: int = 64) -> DataFrame:
+    """rows with place, from 1 in the given order, whose first columns are the numbers ``first`` (null last) and ``second``.
+
+    Ranges of the two, cut at quantiles, are numbered side by side on top of the sizes of those before: no task orders all rows.
+    """
+    shares = [k / parts for k in range(1, parts)]
+    cut = {c: sorted(set(rows.agg(F.percentile_approx(c, shares).alias("b")).first()["b"] or [])) for c in (first, second)}  # fixed numbers of bounds
+    part = lambda c: sum((F.when(F.col(c) > b, 1).otherwise(0) for b in cut[c]), F.lit(0))
+    # Rows of one first value are cut by the second only where there is no first: else a value's rows stay together.
+    rows = rows.withColumn("_part", F.when(F.col(first).isNull(), parts + part(second)).otherwise(part(first)))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # one row a part
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return rows.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn("place", (F.col("_before") + F.col("_own")).cast("int")).drop("_part", "_own", "_before")
 
 
 def safe_cell(value: Column) -> Column:

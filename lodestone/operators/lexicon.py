@@ -34,6 +34,23 @@ def jaccard_pairs(rows: DataFrame, id_col: str, text_col: str, least: float) ->
     return k.where(j >= least).select("a", "b", F.round(j, 6).alias("jaccard"))
 
 
+def dissimilar(texts, most: float = 0.5):
+    """The texts of an array, in order, whose token sets stay below ``most`` Jaccard against all those kept before: a fold over the array."""
+
+    def step(kept, text):
+        t = tx.jaccard_tokens(F.coalesce(text, F.lit("")))
+
+        def far(k):
+            both = F.size(F.array_intersect(t, k["tokens"]))
+            return both < most * (F.size(t) + F.size(k["tokens"]) - both)
+
+        ok = F.forall(kept, lambda k: far(k) | ((F.size(t) == 0) & (F.size(k["tokens"]) == 0)))
+        return F.when(ok, F.concat(kept, F.array(F.struct(text.alias("text"), t.alias("tokens"))))).otherwise(kept)
+
+    begin = F.array().cast("array<struct<text:string,tokens:array<string>>>")
+    return F.transform(F.aggregate(texts, begin, step), lambda k: k["text"])
+
+
 def keep_dissimilar(queries: list[str], tried: list[str], most: float = 0.5) -> list[str]:
     """Queries in order whose token sets stay below ``most`` Jaccard against those tried and kept; for a query's few rewrites."""
 

@@ -97,8 +97,8 @@ def learned_counts(spark, d):
 
 
 def _ledger(spark, d):
-    """Uses of documents by their first words, a document's event being the time of use."""
-    s = sources(spark, d).select("doc_id", F.explode(F.array_distinct(F.slice(tx.fields(F.col("body")), 1, 8))).alias("token"))
+    """Uses of documents by their words, a document's event being the time of use."""
+    s = sources(spark, d).select("doc_id", F.explode(F.array_distinct(tx.fields(F.col("body")))).alias("token"))
     e = read(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("last"), F.col("value").alias("score"))
     return s.join(e, "doc_id").select("token", "doc_id", "score", F.lit(1).cast("long").alias("hits"), "last")
 
@@ -116,13 +116,13 @@ def affinity_weights(spark, d):
     return ix.top(w, "item_id", [F.desc("weight"), F.col("doc_id")], 10).select("item_id", "doc_id", F.round("weight", 3).alias("weight"), "rnk")
 
 
-_LEDGER = """sl AS (SELECT DISTINCT doc_id, unnest(t[1:8]) AS token FROM (SELECT doc_id, flatten(list_transform(regexp_extract_all(text, '[0-9A-Za-z一-鿿]{2,}'), lambda r: CASE WHEN regexp_matches(r, '^[一-鿿]') THEN list_transform(range(1, length(r)), lambda i: lower(substr(r, i, 2))) ELSE [lower(r)] END)) AS t FROM documents)),
+_LEDGER = """sl AS (SELECT DISTINCT doc_id, unnest(t) AS token FROM (SELECT doc_id, flatten(list_transform(regexp_extract_all(text, '[0-9A-Za-z一-鿿]{2,}'), lambda r: CASE WHEN regexp_matches(r, '^[一-鿿]') THEN list_transform(range(1, length(r)), lambda i: lower(substr(r, i, 2))) ELSE [lower(r)] END)) AS t FROM documents)),
     led AS (SELECT token, doc_id, value AS score, 1 AS hits, ts AS last FROM sl JOIN events ON event_id = doc_id)"""
 
 
 def intent_classify(spark, d):
     c = read(spark, d, "conversations")
-    q = F.when(F.col("turn") == 0, "Hi there").when(F.col("turn") == 1, "summarize this").when(F.col("turn") == 2, "which?").otherwise(F.substring("text", 1, 16))
+    q = F.when(F.col("turn") == 0, "Hi there").when(F.col("turn") == 1, "summarize this").otherwise(F.col("text"))
     return c.select("conv_id", "turn", ev.intent(q).alias("intent"))
 
 
@@ -145,7 +145,7 @@ def abstain_head(spark, d):
 def eval_correct(spark, d):
     s = sources(spark, d)
     gold = F.when(F.col("doc_id") % 3 == 0, F.regexp_extract("body", "[0-9]+", 0)).when(F.col("doc_id") % 3 == 1, F.substring("body", 3, 12)).otherwise("zz9")
-    return s.select("doc_id", ev.is_correct(F.substring("body", 1, 300), F.coalesce(F.nullif(gold, F.lit("")), F.lit("7"))).alias("correct"))
+    return s.select("doc_id", ev.is_correct(F.col("body"), F.coalesce(F.nullif(gold, F.lit("")), F.lit("7"))).alias("correct"))
 
 
 def eval_score(spark, d):
@@ -211,7 +211,7 @@ def score_stability(spark, d):
 def closed_book(spark, d):
     """Items whose passage alone, without documents, would be judged right for the passage's own number or start."""
     b = read(spark, d, "benchmark")
-    return b.select("item_id", ev.is_correct(F.substring("text", 1, 60), F.substring("text", 5, 10)).alias("correct"))
+    return b.select("item_id", ev.is_correct(F.col("text"), F.substring("text", 5, 10)).alias("correct"))
 
 
 QUERIES = {
@@ -228,10 +228,10 @@ QUERIES = {
     "learned_counts": (learned_counts, "SELECT 'documents' AS collection, count(*) AS n FROM documents UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'conversations', count(*) FROM conversations"),
     "affinity_record": (affinity_record, f"WITH {_LEDGER}, b AS (SELECT * FROM led UNION ALL SELECT * FROM led WHERE doc_id % 2 = 0), g AS (SELECT token, doc_id, sum(score) AS score, sum(hits)::BIGINT AS hits, max(last) AS last FROM b GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, doc_id) AS k FROM g) SELECT token, doc_id, round(score, 5) AS score, hits, last FROM r WHERE k <= 60"),
     "affinity_weights": (affinity_weights, f"WITH {ITEMS}, {_LEDGER}, q AS (SELECT item_id, unnest(list_filter(tokens, lambda t, i: list_position(tokens, t) = i)[1:24]) AS token FROM items), w AS (SELECT token, doc_id, score * pow(2.0, -((epoch_us(TIMESTAMP '2024-06-01') - epoch_us(last)) / 86400000000.0::DOUBLE) / 21.0) AS w FROM led), n AS (SELECT token, doc_id, w / nullif(max(w) OVER (PARTITION BY token), 0) AS w FROM w), s AS (SELECT item_id, doc_id, round(sum(w), 6) AS weight FROM q JOIN n USING (token) WHERE w IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, doc_id) AS rnk FROM s) SELECT item_id, doc_id, round(weight, 3) AS weight, rnk::INT AS rnk FROM r WHERE rnk <= 10"),
-    "intent_classify": (intent_classify, "SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'chat' WHEN turn = 1 THEN 'doc_summary' ELSE 'search' END AS intent FROM conversations"),
+    "intent_classify": (intent_classify, "SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'chat' WHEN turn = 1 THEN 'doc_summary' WHEN length(trim(text)) <= 8 AND len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w IN ('hi', 'hello', 'hey', 'thanks'))) > 0 THEN 'chat' ELSE 'search' END AS intent FROM conversations"),
     "escalation_gate": (escalation_gate, f"WITH {_OUT}, k AS (SELECT *, tokens % 5 + 1 AS k, round(0.35 + 0.05 * least(3, tokens % 5), 6) AS t FROM o) SELECT item_id, t::DOUBLE AS threshold, (tokens % 17 = 0 OR tokens % 19 = 0 OR conf < t OR tokens % 11 = 0 OR tokens % 23 = 0 OR (NOT correct AND (tokens % 2 <> 0 OR k > 1))) AND NOT tokens % 13 = 0 AS deep FROM k"),
     "abstain_head": (abstain_head, f"WITH {_OUT}, z AS (SELECT item_id, -0.20 - 0.15 * least((tokens % 90) / 64.0::DOUBLE, 1) - 0.05 * least((tokens % 70) / 64.0::DOUBLE, 1) - 0.40 * least((tokens % 9) / 8.0::DOUBLE, 1) - 0.25 * least((tokens % 110) / 10.0::DOUBLE / 10, 1) + 0.55 * least((tokens % 6) / 4.0::DOUBLE, 1) - 1.20 * least(conf, 1) + 1.80 * (tokens % 5 = 0)::INT + 1.70 * (tokens % 7 = 0)::INT AS z FROM o), p AS (SELECT item_id, round(1 / (1 + exp(-z)), 6) AS p FROM z) SELECT item_id, p, CASE WHEN p >= 0.80 THEN 'refuse' WHEN p >= 0.35 THEN 'deep' ELSE '' END AS action FROM p"),
-    "eval_correct": (eval_correct, "WITH g AS (SELECT doc_id, lower(trim(substr(text, 1, 300))) AS a, lower(trim(coalesce(nullif(CASE doc_id % 3 WHEN 0 THEN regexp_extract(text, '[0-9]+') WHEN 1 THEN substr(text, 3, 12) ELSE 'zz9' END, ''), '7'))) AS g FROM documents) SELECT doc_id, a = g OR CASE WHEN regexp_matches(g, '^[0-9]+$') THEN regexp_matches(a, '(^|[^0-9])' || g || '([^0-9]|$)') ELSE g <> '' AND contains(a, g) END AS correct FROM g"),
+    "eval_correct": (eval_correct, "WITH g AS (SELECT doc_id, lower(trim(text)) AS a, lower(trim(coalesce(nullif(CASE doc_id % 3 WHEN 0 THEN regexp_extract(text, '[0-9]+') WHEN 1 THEN substr(text, 3, 12) ELSE 'zz9' END, ''), '7'))) AS g FROM documents) SELECT doc_id, a = g OR CASE WHEN regexp_matches(g, '^[0-9]+$') THEN regexp_matches(a, '(^|[^0-9])' || g || '([^0-9]|$)') ELSE g <> '' AND contains(a, g) END AS correct FROM g"),
     "eval_score": (eval_score, f"WITH {BM25}, gold AS (SELECT i.item_id, d.doc_id FROM items i JOIN documents d ON contains(d.text, i.query)) SELECT r.item_id, bool_or(g.doc_id IS NOT NULL) AS ev_rec FROM ranked r LEFT JOIN gold g USING (item_id, doc_id) WHERE rnk <= 5 GROUP BY 1"),
     "freeze_sha": (freeze_sha, "SELECT count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS fingerprint FROM (SELECT sha256(item_id || chr(31) || text) AS h FROM benchmark)"),
     "validate_dataset": (validate_dataset, """WITH i AS (SELECT item_id, CASE WHEN item_id % 9 = 0 THEN '  ' ELSE text END AS query FROM benchmark), j AS (SELECT * FROM i UNION ALL SELECT * FROM i WHERE item_id % 8 = 0)
@@ -241,5 +241,5 @@ QUERIES = {
     "prior_history": (prior_history, "WITH l AS (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0 ORDER BY doc_id LIMIT 200) SELECT DISTINCT unnest(list_transform(regexp_extract_all(substr(text, 1, 120), '[0-9A-Za-z]{2,}'), lambda w: lower(w))) AS token FROM documents WHERE doc_id IN (SELECT doc_id FROM l) ORDER BY token LIMIT 64"),
     "theta_grid": (theta_grid, f"WITH p AS (SELECT {_COS} AS s, a.label = b.label AS r FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), q AS (SELECT * FROM p WHERE s >= 0), t AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.55])::DOUBLE AS theta), g AS (SELECT theta, count(*) FILTER (s >= theta) AS kept, count(*) FILTER (s >= theta AND r) AS hits, count(*) FILTER (r) AS relevant FROM q, t GROUP BY 1) SELECT theta, kept, hits, round(coalesce(hits::DOUBLE / nullif(kept, 0), 0), 3) AS precision, round(coalesce(hits::DOUBLE / nullif(relevant, 0), 0), 3) AS recall FROM g"),
     "score_stability": (score_stability, "SELECT user_id, count(*) AS n, round(avg(value / 10), 3) AS mean, round(coalesce(stddev_samp(value / 10), 0), 3) AS spread, bool_and(value / 10 >= 4) OR NOT bool_or(value / 10 >= 4) AS stable FROM events GROUP BY 1"),
-    "closed_book": (closed_book, "WITH g AS (SELECT item_id, lower(trim(substr(text, 1, 60))) AS a, lower(trim(substr(text, 5, 10))) AS g FROM benchmark) SELECT item_id, a = g OR CASE WHEN regexp_matches(g, '^[0-9]+$') THEN regexp_matches(a, '(^|[^0-9])' || g || '([^0-9]|$)') ELSE g <> '' AND contains(a, g) END AS correct FROM g"),
+    "closed_book": (closed_book, "WITH g AS (SELECT item_id, lower(trim(text)) AS a, lower(trim(substr(text, 5, 10))) AS g FROM benchmark) SELECT item_id, a = g OR CASE WHEN regexp_matches(g, '^[0-9]+$') THEN regexp_matches(a, '(^|[^0-9])' || g || '([^0-9]|$)') ELSE g <> '' AND contains(a, g) END AS correct FROM g"),
 }

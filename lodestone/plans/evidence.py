@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..operators import evidence as ev
 from ..operators import index as ix
 from ..operators import lexicon
-from .common import BM25, ITEMS, items, read, sources, sql_coverage, sql_fields, sql_hits, sql_keyword_score
+from .common import BM25, ITEMS, SCORES, items, read, sources, sql_coverage, sql_fields, sql_hits, sql_keyword_score
 
 
 def _gold(spark, d):
@@ -18,8 +18,11 @@ def _gold(spark, d):
 _GOLD = f"{ITEMS}, gold AS (SELECT i.item_id, i.query, i.tokens, d.doc_id, d.text, length(d.text) AS n FROM items i JOIN documents d ON contains(d.text, i.query))"
 
 
+_DENSEST = "CASE WHEN length(text) <= 15000 THEN 0 ELSE -list_sort(list_transform(range(0, length(text) - 14999, 3750), lambda s: {'h': len(list_filter(list_distinct(tokens), lambda t: contains(substr(text, s + 1, 15000), t))), 's': -s}))[-1].s END"
+
+
 def sample_full(spark, d):
-    return ev.whole_file(sources(spark, d), "body").select("doc_id", "start", "end")
+    return ev.whole_file(_gold(spark, d), "tokens", "body").select("item_id", "doc_id", "start", "end")
 
 
 def window_at(spark, d):
@@ -181,12 +184,12 @@ def adjacent_blocks(spark, d):
 
 
 def session_bridge(spark, d):
-    """Queries whose best document scores under 7 look at their session's documents again: labelled ones, accepted from 4."""
-    i, q, s = ix.Index(sources(spark, d)), items(spark, d).withColumn("tokens", F.slice("tokens", 1, 8)), sources(spark, d)
-    one = q.join(i.rank(q, 1).select("item_id", "doc_id"), "item_id").join(s, "doc_id").select("item_id", "tokens", F.round(tx.keyword_score(F.col("tokens"), F.substring("body", 1, 400)), 6).alias("first"))
-    weak = one.where("first < 7")
-    used = read(spark, d, "labels").where("quality = 1").orderBy("doc_id").limit(3).select("doc_id").join(s, "doc_id").select("doc_id", "body")
-    again = weak.join(F.broadcast(used), how="cross").withColumn("score", F.round(tx.keyword_score(F.col("tokens"), F.col("body")), 6))  # three documents
+    """Queries whose best document scores under 7 look at their session's documents again: those that held the passages of the three queries before, accepted from 4."""
+    i, q, s = ix.Index(sources(spark, d)), items(spark, d), sources(spark, d)
+    score = F.round(tx.keyword_score(F.col("tokens"), F.col("body")), 6)
+    first = q.select("item_id", "tokens").join(i.rank(q, 1).select("item_id", "doc_id"), "item_id", "left").join(s.select("doc_id", "body"), "doc_id", "left").select("item_id", "tokens", F.coalesce(score, F.lit(0.0)).alias("first"))
+    used = _gold(spark, d).select(F.explode(F.array(*[F.col("item_id") + k for k in (1, 2, 3)])).alias("item_id"), "doc_id").distinct()
+    again = first.where("first < 7").join(used, "item_id").join(s.select("doc_id", "body"), "doc_id").withColumn("score", score)
     return again.groupBy("item_id").agg(F.max("score").alias("best"), F.max("first").alias("first")).withColumn("accepted", F.col("best") >= 4)
 
 
@@ -200,12 +203,14 @@ def deep_answer(spark, d):
     return ev.deep_answer(items(spark, d), s, ix.Index(s))
 
 
-_FAST = f"""{BM25}, f AS (SELECT r.item_id, r.rnk, r.doc_id, tokens, least(length(text), 15000) AS fin, substr(text, 1, 15000) AS content FROM ranked r JOIN items USING (item_id) JOIN documents USING (doc_id) WHERE rnk <= 5 AND length(text) <= 100000),
+#: SQL has the texts of up to 100,000 characters; longer ones are sampled by hashes, which a test of its own covers.
+_FAST = f"""{BM25}, e AS (SELECT r.item_id, r.rnk, r.doc_id, tokens, text, length(text) AS n, {_DENSEST} AS start FROM ranked r JOIN items USING (item_id) JOIN documents USING (doc_id) WHERE rnk <= 5 AND length(text) <= 100000),
+    f AS (SELECT *, least(n, start + 15000) AS fin, substr(text, (start + 1)::BIGINT, 15000) AS content FROM e),
     g AS (SELECT *, round({sql_keyword_score('tokens', 'content')}, 6) AS score FROM f),
     h AS (SELECT *, sum(strlen(content)) OVER (PARTITION BY item_id ORDER BY score DESC, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g WHERE score >= 4)"""
 
 QUERIES = {
-    "sample_full": (sample_full, 'SELECT doc_id, 0 AS start, least(length(text), 15000)::INT AS "end" FROM documents WHERE length(text) <= 100000'),
+    "sample_full": (sample_full, f'WITH {_GOLD}, f AS (SELECT item_id, doc_id, n, {_DENSEST} AS start FROM gold WHERE n <= 100000) SELECT item_id, doc_id, start::INT AS start, least(n, start + 15000)::INT AS "end" FROM f'),
     "window_at": (window_at, """SELECT doc_id, a::INT AS start, b::INT AS "end", sha256(substr(text, a + 1, b - a)) AS digest FROM (SELECT doc_id, text, greatest(0, greatest(0, least((doc_id * 977) % 40000 - 200, length(text))) - 240) AS a, least(length(text), greatest(0, least((doc_id * 977) % 40000 - 200, length(text))) + 240) AS b FROM documents)"""),
     "stratified_windows": (stratified_windows, """SELECT doc_id, slot::INT AS slot, greatest(0, c - 240)::INT AS start, least(n, c + 240)::INT AS "end" FROM (SELECT doc_id, slot, length(text) AS n, ((2 * slot + 1) * length(text)) // 10 AS c FROM documents, (SELECT unnest(range(0, 5)) AS slot))"""),
     "lex_windows": (lex_windows, f"""WITH {_WIN} SELECT item_id, doc_id, anchor, greatest(0, least(c, n) - 240)::INT AS start, least(n, c + 240)::INT AS "end" FROM wc WHERE arm = 'lex'"""),
@@ -224,12 +229,16 @@ QUERIES = {
     "top_keeps": (top_keeps, f'WITH {_WIN}, {_KEEPS} SELECT item_id, doc_id, start::INT AS start, fin::INT AS "end", score, place::INT AS place FROM keeps WHERE place <= 8'),
     "deep_metrics": (deep_metrics, f"WITH {_WIN}, m AS (SELECT item_id, round(avg(score), 6) AS mean, max({sql_coverage('tokens', 'content')}) AS cov FROM win GROUP BY 1), c AS (SELECT *, round(least(1.0, greatest(0.0, 0.5 * mean / 10 + 0.5 * cov)), 3) AS conf FROM m) SELECT item_id, round(cov, 6) AS coverage, CASE WHEN cov < 1 THEN least(conf, 0.45) ELSE conf END AS confidence FROM c"),
     "echoes_query": (echoes_query, f"WITH {ITEMS}, s AS (SELECT item_id, tokens, CASE WHEN item_id % 2 = 0 THEN '- ' || array_to_string(tokens[1:3], ', ') ELSE query || ' 42 zz' END AS s FROM items) SELECT item_id, len(list_filter(string_split(regexp_replace(lower(s), '[\\s\\p{{P}}]', '', 'g'), ''), lambda c: c <> '' AND NOT contains(array_to_string(tokens, ''), c))) < 2 AS echo FROM s"),
-    "cite_stability": (cite_stability, None),
+    "cite_stability": (cite_stability, f"""WITH {BM25}, fterms AS (SELECT DISTINCT item_id, unnest(tokens[1:5]) AS term FROM items), fscores AS ({SCORES.split("scores AS (")[1].rstrip().rstrip(")").replace("qterms", "fterms")}), franked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rnk FROM fscores),
+        a AS (SELECT item_id, list(doc_id) AS a FROM ranked WHERE rnk <= 5 GROUP BY 1), b AS (SELECT item_id, list(doc_id) AS b FROM franked WHERE rnk <= 5 GROUP BY 1)
+        SELECT item_id, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS stability FROM a JOIN b USING (item_id)"""),
     "merge_evidence": (merge_evidence, f"WITH {_WIN} SELECT item_id, doc_id, start::INT AS start, max(arm) AS arm FROM win GROUP BY 1, 2, 3"),
     "adjacent_blocks": (adjacent_blocks, f"""WITH {_GOLD}, p AS (SELECT item_id, doc_id, n, (instr(text, query) - 1) // 1000 AS b FROM gold), c AS (SELECT item_id, doc_id, n, unnest([b - 1, b + 1]) AS block_index FROM p),
         k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id, block_index) AS place FROM c WHERE block_index >= 0 AND (block_index = 0 OR block_index * 1000 < n)) SELECT item_id, doc_id, block_index::INT AS block_index, place::INT AS place FROM k WHERE place <= 4"""),
-    "session_bridge": (session_bridge, None),
-    "fast_answer": (fast_answer, f"""WITH {_FAST} SELECT item_id, rnk::INT AS rnk, doc_id, 0 AS start, fin::INT AS "end", score, round({sql_coverage('tokens', 'content')}, 6) AS coverage, round(least(1.0, greatest(0.0, 0.5 * score / 10 + 0.5 * ({sql_coverage('tokens', 'content')}))), 3) AS confidence FROM h WHERE coalesce(before, 0) < 15000"""),
+    "session_bridge": (session_bridge, f"""WITH {BM25}, gold AS (SELECT i.item_id, d.doc_id FROM items i JOIN documents d ON contains(d.text, i.query)), one AS (SELECT i.item_id, i.tokens, coalesce(round({sql_keyword_score('i.tokens', 'd.text')}, 6), 0.0) AS first FROM items i LEFT JOIN ranked r ON r.item_id = i.item_id AND rnk = 1 LEFT JOIN documents d USING (doc_id)),
+        used AS (SELECT DISTINCT item_id + k AS item_id, doc_id FROM gold, (SELECT unnest([1, 2, 3]) AS k)), again AS (SELECT o.item_id, first, round({sql_keyword_score('tokens', 'text')}, 6) AS score FROM one o JOIN used USING (item_id) JOIN documents USING (doc_id) WHERE first < 7)
+        SELECT item_id, max(score) AS best, max(first) AS first, max(score) >= 4 AS accepted FROM again GROUP BY 1"""),
+    "fast_answer": (fast_answer, f"""WITH {_FAST} SELECT item_id, rnk::INT AS rnk, doc_id, start::INT AS start, fin::INT AS "end", score, round({sql_coverage('tokens', 'content')}, 6) AS coverage, round(least(1.0, greatest(0.0, 0.5 * score / 10 + 0.5 * ({sql_coverage('tokens', 'content')}))), 3) AS confidence FROM h WHERE coalesce(before, 0) < 15000"""),
     "deep_answer": (deep_answer, f"""WITH {BM25}, s AS (SELECT r.item_id, r.rnk, round({sql_keyword_score('tokens', 'text')}, 6) AS score, round({sql_coverage('tokens', 'text')}, 6) AS coverage FROM ranked r JOIN items USING (item_id) JOIN documents USING (doc_id) WHERE rnk <= 4),
         p AS (SELECT *, coalesce(max(CASE WHEN score >= 8 AND coverage >= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM s),
         o AS (SELECT item_id, count(*) AS files, max(score) AS best, max(coverage) AS coverage, round(avg(score), 6) AS mean FROM p WHERE done = 0 GROUP BY 1), c AS (SELECT *, round(least(1.0, greatest(0.0, 0.5 * mean / 10 + 0.5 * coverage)), 3) AS conf FROM o)

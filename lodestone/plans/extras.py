@@ -28,14 +28,9 @@ def arm_slots(spark, d):
 
 def filter_dissimilar(spark, d):
     """Turns of a conversation that differ enough from those kept before them, in order."""
-
-    def keep(pdf):
-        import pandas as pd
-
-        texts = list(pdf.sort_values(["turn", "text"])["text"])
-        return pd.DataFrame({"conv_id": [pdf["conv_id"].iloc[0]], "n": [len(texts)], "kept": [len(lexicon.keep_dissimilar(texts, []))]})
-
-    return read(spark, d, "conversations").select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(keep, "conv_id long, n long, kept long")
+    t = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    kept = lexicon.dissimilar(F.transform("turns", lambda x: x["text"]))
+    return t.select("conv_id", F.size("turns").cast("long").alias("n"), F.size(kept).cast("long").alias("kept"))
 
 
 def repair_json(spark, d):
@@ -46,7 +41,7 @@ def repair_json(spark, d):
 
 def renumber_citations(spark, d):
     s = sources(spark, d)
-    text = F.concat(F.lit("see [2], [5] and [9]; "), F.substring(F.translate("body", "[]", ""), 1, 40))
+    text = F.concat(F.lit("see [2], [5] and [9]; "), F.translate("body", "[]", ""))
     return s.select("doc_id", sq.renumber(text, F.create_map(F.lit(2), F.lit(1), F.lit(5), F.lit(2))).alias("text"))
 
 
@@ -64,6 +59,6 @@ QUERIES = {
     "arm_slots": (arm_slots, "WITH e AS (SELECT user_id AS item_id, event_type AS arm, count(*) AS weight FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, arm) AS k, count(*) OVER (PARTITION BY item_id) AS n FROM e) SELECT item_id, arm, CASE WHEN k = 1 THEN greatest(1, 8 - n + 1) ELSE 1 END::BIGINT AS slots FROM r"),
     "filter_dissimilar": (filter_dissimilar, None),
     "repair_json": (repair_json, "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events"),
-    "renumber_citations": (renumber_citations, "SELECT doc_id, 'see [1], [2] and [9]; ' || substr(replace(replace(text, '[', ''), ']', ''), 1, 40) AS text FROM documents"),
-    "contested_clusters": (detect_conflict_states, "WITH c AS (SELECT source AS grp, regexp_extract(substr(text, 1, 3000), '[0-9]+') AS claim, min(doc_id) AS id FROM documents GROUP BY 1, 2), cf AS (SELECT x.id AS a, y.id AS b FROM c x JOIN c y ON x.grp = y.grp AND x.id < y.id AND x.claim <> y.claim WHERE x.claim <> '' AND y.claim <> '') SELECT DISTINCT cluster, 'contested' AS lifecycle FROM (SELECT a AS cluster FROM cf UNION ALL SELECT b FROM cf)"),
+    "renumber_citations": (renumber_citations, "SELECT doc_id, 'see [1], [2] and [9]; ' || replace(replace(text, '[', ''), ']', '') AS text FROM documents"),
+    "contested_clusters": (detect_conflict_states, "WITH c AS (SELECT source AS grp, regexp_extract(text, '[0-9]+') AS claim, min(doc_id) AS id FROM documents GROUP BY 1, 2), cf AS (SELECT x.id AS a, y.id AS b FROM c x JOIN c y ON x.grp = y.grp AND x.id < y.id AND x.claim <> y.claim WHERE x.claim <> '' AND y.claim <> '') SELECT DISTINCT cluster, 'contested' AS lifecycle FROM (SELECT a AS cluster FROM cf UNION ALL SELECT b FROM cf)"),
 }

@@ -120,18 +120,18 @@ def mean_embed(spark, d):
 
 
 def rank_sources(spark, d):
-    q = items(spark, d).withColumn("tokens", F.slice("tokens", 1, 6))
+    q = items(spark, d)
     return ix.top(ix.cascade(q, sources(spark, d)), "item_id", [F.desc("score"), F.col("doc_id")], 10).select("item_id", "doc_id", "score", "rnk")
 
 
-_CASC = """qt AS (SELECT DISTINCT item_id, unnest(tokens[1:6]) AS term FROM items), terms AS (SELECT DISTINCT term FROM qt),
+_CASC = """qt AS (SELECT DISTINCT item_id, unnest(tokens) AS term FROM items), terms AS (SELECT DISTINCT term FROM qt),
     tf AS (SELECT doc_id, term, (length(low) - length(replace(low, term, ''))) // length(term) AS tf FROM (SELECT doc_id, lower(text) AS low FROM documents) JOIN terms ON contains(low, term)),
     cdf AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
     casc AS (SELECT item_id, doc_id, round(sum((1 + log2((SELECT count(*) FROM documents)::DOUBLE / df)) * (1 + log2(tf + 1))), 6) AS score FROM qt JOIN cdf USING (term) JOIN tf USING (term) GROUP BY 1, 2)"""
 
 
 def _signals(spark, d):
-    q = items(spark, d).withColumn("tokens", F.slice("tokens", 1, 6))
+    q = items(spark, d)
     s = sources(spark, d)
     hist = read(spark, d, "labels").where("quality = 1").select("doc_id", F.lit(1.0).alias("history"))
     lex = ix.cascade(q, s).withColumnRenamed("score", "lexical")
@@ -140,7 +140,7 @@ def _signals(spark, d):
     return r.select("item_id", "doc_id", "lexical", path.alias("path"), F.lit(0.0).alias("struct"), F.coalesce("history", F.lit(0.0)).alias("history"), ix.scan_signal(F.lit(1), F.col("n_chars")).alias("scan"))
 
 
-_SIG = f"""WITH {ITEMS}, {_CASC}, sig AS (SELECT item_id, doc_id, round(0.40 * score + 0.20 * round(len(list_filter(tokens[1:6], lambda t: contains(lower(source || ' ' || doc_id), t)))::DOUBLE / len(tokens[1:6]), 6)
+_SIG = f"""WITH {ITEMS}, {_CASC}, sig AS (SELECT item_id, doc_id, round(0.40 * score + 0.20 * round(len(list_filter(tokens, lambda t: contains(lower(source || ' ' || doc_id), t)))::DOUBLE / len(tokens), 6)
     + 0.15 * CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1.0 ELSE 0.0 END + 0.10 * (0.5 + CASE WHEN n_chars > 200 AND n_chars < 8000 THEN 0.3 ELSE 0.0 END), 9) AS fused FROM casc JOIN items USING (item_id) JOIN documents USING (doc_id)),
     pr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY fused DESC, doc_id) AS rnk FROM sig), prior AS (SELECT item_id, doc_id, rnk, round(fused / max(fused) OVER (PARTITION BY item_id), 6) AS prior FROM pr WHERE rnk <= 10)"""
 
@@ -150,7 +150,7 @@ def prior_rank(spark, d):
 
 
 def prior_fusion(spark, d):
-    q = items(spark, d).withColumn("tokens", F.slice("tokens", 1, 6))
+    q = items(spark, d)
     usage = read(spark, d, "labels").select("doc_id", (F.col("quality") + F.col("toxic")).cast("double").alias("usage"))
     f = ix.fuse(ix.cascade(q, sources(spark, d)), ix.prior(_signals(spark, d)).select("item_id", "doc_id", "prior"), usage)
     return ix.top(f, "item_id", [F.desc("fused"), F.col("doc_id")], 5).select("item_id", "doc_id", "fused", "rnk")

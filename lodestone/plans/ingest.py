@@ -165,7 +165,7 @@ def stratified_sample(spark, d):
 
 def rank_overlay(spark, d):
     ranks = read(spark, d, "labels").where("quality = 0").select("doc_id", F.col("doc_id").alias("rank"))
-    return ing.overlay(sources(spark, d).select("doc_id", "n_chars"), ranks, "doc_id", ["doc_id"]).select("doc_id", "place").orderBy("place").limit(300)
+    return ing.overlay(sources(spark, d).select("doc_id", "n_chars"), ranks, "doc_id", ["doc_id"]).select("doc_id", "place")
 
 
 def upsert_versions(spark, d):
@@ -212,7 +212,7 @@ QUERIES = {
     "map_template": (map_template, "SELECT n_nationkey, n_name || ' of region ' || n_regionkey || '.' AS line FROM nation"),
     "ingest_counts": (ingest_counts, f"WITH {_CHAIN}, w AS (SELECT key, count(*) AS written FROM s GROUP BY 1) SELECT key, written, (SELECT count(*) FROM r WHERE r.key = w.key) - written AS unchanged FROM w"),
     "stratified_sample": (stratified_sample, "WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn FROM documents) SELECT doc_id, lang, turn::INT AS turn FROM r ORDER BY turn, lang LIMIT 50"),
-    "rank_overlay": (rank_overlay, "SELECT d.doc_id, row_number() OVER (ORDER BY l.doc_id NULLS LAST, d.doc_id)::INT AS place FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 0) l ON d.doc_id = l.doc_id ORDER BY place LIMIT 300"),
+    "rank_overlay": (rank_overlay, "SELECT d.doc_id, row_number() OVER (ORDER BY l.doc_id NULLS LAST, d.doc_id)::INT AS place FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 0) l ON d.doc_id = l.doc_id"),
     "upsert_versions": (upsert_versions, "SELECT s_suppkey, s_name AS name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0"),
     "safe_csv": (safe_csv, "SELECT c_custkey, '''' || CASE WHEN c_acctbal < 0 THEN c_acctbal::DECIMAL(12, 2)::VARCHAR ELSE ' =' || c_name END AS cell FROM customer"),
     "parquet_probe": (parquet_probe, "SELECT count(*) AS n_rows, count(doc_id) AS n_doc_id, count(text) AS n_text, count(lang) AS n_lang FROM documents"),

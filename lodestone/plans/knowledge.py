@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import index as ix
 from ..operators import knowledge as kn
 from ..operators import lexicon
-from .common import ITEMS, items, read, sources, sql_coverage, sql_fields
+from .common import BM25, ITEMS, items, read, sources, sql_coverage, sql_fields
 
 
 def level_keys(spark, d):
@@ -51,7 +51,7 @@ _VEC = """u AS (SELECT DISTINCT item_id, unnest(list_transform(regexp_extract_al
 
 def relevance_gate(spark, d):
     g = lexicon.gold_pairs(items(spark, d), sources(spark, d))
-    return g.select("item_id", "doc_id", (tx.coverage(F.col("tokens"), F.substring("body", 1, 600)) >= 0.3).alias("relevant"))
+    return g.select("item_id", "doc_id", (tx.coverage(F.col("tokens"), F.col("body")) >= 0.3).alias("relevant"))
 
 
 def find_by_topic(spark, d):
@@ -148,7 +148,7 @@ def detect_conflicts(spark, d):
     return kn.conflicts(_claims(spark, d), "grp")
 
 
-_CONF = "c AS (SELECT source AS grp, regexp_extract(substr(text, 1, 3000), '[0-9]+') AS claim, min(doc_id) AS id FROM documents GROUP BY 1, 2), cf AS (SELECT x.grp, x.id AS a, y.id AS b FROM c x JOIN c y ON x.grp = y.grp AND x.id < y.id AND x.claim <> y.claim WHERE x.claim <> '' AND y.claim <> '')"
+_CONF = "c AS (SELECT source AS grp, regexp_extract(text, '[0-9]+') AS claim, min(doc_id) AS id FROM documents GROUP BY 1, 2), cf AS (SELECT x.grp, x.id AS a, y.id AS b FROM c x JOIN c y ON x.grp = y.grp AND x.id < y.id AND x.claim <> y.claim WHERE x.claim <> '' AND y.claim <> '')"
 
 
 def conflicts_for(spark, d):
@@ -197,7 +197,7 @@ def graph_expand_2hop(spark, d):
 
 
 def hop_freshness(spark, d):
-    """Parts' partners whose last shipment lies within 300 days of the newest; unknown ones stay."""
+    """Parts' partners whose last shipment lies within 60 days of the newest; unknown ones stay."""
     li = read(spark, d, "lineitem").select("l_partkey", F.col("l_shipdate").cast("date").alias("at"))
     last = li.groupBy("l_partkey").agg(F.max("at").alias("last"))
     newest = li.agg(F.max("at").alias("newest"))
@@ -213,7 +213,7 @@ def cite_edges(spark, d):
 
 
 def shared_source_edges(spark, d):
-    li = read(spark, d, "lineitem").where("l_quantity >= 45").select(F.col("l_suppkey").alias("grp"), F.col("l_partkey").alias("member"))
+    li = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("grp"), F.col("l_partkey").alias("member"))
     return kn.pair_edges(li, "grp", "member").select("a", "b", "hits")
 
 
@@ -222,7 +222,7 @@ QUERIES = {
     "cluster_evolve": (cluster_evolve, f"WITH {_EVOLVE} SELECT * FROM c"),
     "cluster_stats": (cluster_stats, f"WITH {_EVOLVE} SELECT CASE WHEN version >= 12 THEN 'stable' WHEN version >= 6 THEN 'emerging' ELSE 'contested' END AS lifecycle, count(*) AS n, round(avg(hotness), 3) AS hotness, sum(least(version, 5))::BIGINT AS queries FROM c GROUP BY 1"),
     "reuse_score": (reuse_score, f"WITH {ITEMS}, {_VEC}, c AS (SELECT x.item_id, sum(x.x * y.x) AS cos FROM v x JOIN v y ON y.item_id + 1 = x.item_id AND x.bucket = y.bucket GROUP BY 1), k AS (SELECT i.item_id, {sql_coverage('i.tokens', 'substr(j.query, 1, 80)')} AS cover FROM items i JOIN items j ON j.item_id + 1 = i.item_id) SELECT item_id, round(greatest(0, coalesce(cos, 0), cover), 6) AS score FROM k LEFT JOIN c USING (item_id)"),
-    "relevance_gate": (relevance_gate, f"WITH {ITEMS} SELECT item_id, doc_id, {sql_coverage('tokens', 'substr(text, 1, 600)')} >= 0.3 AS relevant FROM items JOIN documents ON contains(text, query)"),
+    "relevance_gate": (relevance_gate, f"WITH {ITEMS} SELECT item_id, doc_id, {sql_coverage('tokens', 'text')} >= 0.3 AS relevant FROM items JOIN documents ON contains(text, query)"),
     "find_by_topic": (find_by_topic, "WITH r AS (SELECT c_nationkey || ':' || c_mktsegment AS topic, c_custkey AS cluster, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS place FROM customer) SELECT topic, cluster, place::INT AS place FROM r WHERE place <= 2"),
     "prior_stale": (prior_stale, f"WITH {_STALE} SELECT doc_id % 50 AS cluster, count(*) AS windows, bool_or(bad) AS stale FROM e GROUP BY 1"),
     "try_reuse": (try_reuse, f"WITH {_STALE} SELECT doc_id AS cluster FROM labels JOIN e USING (doc_id) WHERE quality = 1 AND NOT bad"),
@@ -244,6 +244,6 @@ QUERIES = {
         d1 AS (SELECT start, b AS node, 1 AS depth, max(w) AS score FROM s JOIN e ON a = start WHERE b <> start GROUP BY 1, 2), d2 AS (SELECT d1.start, e.b AS node, 2 AS depth, max(score + w) AS score FROM d1 JOIN e ON e.a = d1.node WHERE e.b <> d1.start AND NOT EXISTS (SELECT 1 FROM d1 x WHERE x.start = d1.start AND x.node = e.b) GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, score DESC, node) AS place FROM (SELECT * FROM d1 UNION ALL SELECT * FROM d2)) SELECT start, node, depth, round(score, 6)::DOUBLE AS score, place::INT AS place FROM r WHERE place <= 16"""),
     "hop_freshness": (hop_freshness, "WITH l AS (SELECT l_partkey, max(l_shipdate)::DATE AS last FROM lineitem GROUP BY 1) SELECT p_partkey AS l_partkey, last FROM part LEFT JOIN l ON l_partkey = p_partkey WHERE last IS NULL OR (SELECT max(l_shipdate)::DATE FROM lineitem) - last <= 60"),
-    "cite_edges": (cite_edges, None),
-    "shared_source_edges": (shared_source_edges, "WITH li AS (SELECT DISTINCT l_suppkey AS g, l_partkey AS m FROM lineitem WHERE l_quantity >= 45) SELECT x.m AS a, y.m AS b, count(*) AS hits FROM li x JOIN li y ON x.g = y.g AND x.m < y.m GROUP BY 1, 2"),
+    "cite_edges": (cite_edges, f"WITH {BM25}, r AS (SELECT item_id AS cluster, doc_id AS source, score FROM ranked WHERE rnk <= 5), b AS (SELECT * FROM r UNION ALL SELECT cluster, source, score - 1 FROM r) SELECT cluster, source, max(score) AS score, count(*) AS recorded FROM b GROUP BY 1, 2"),
+    "shared_source_edges": (shared_source_edges, "WITH li AS (SELECT DISTINCT l_suppkey AS g, l_partkey AS m FROM lineitem) SELECT x.m AS a, y.m AS b, count(*) AS hits FROM li x JOIN li y ON x.g = y.g AND x.m < y.m GROUP BY 1, 2"),
 }

@@ -11,7 +11,7 @@ from .common import ITEMS, items, read, sources, sql_coverage, sql_fields, sql_h
 
 
 def normalize_text(spark, d):
-    return sources(spark, d).select("doc_id", F.sha2(tx.normalize(F.concat(F.lit(" \r\n"), F.replace("body", F.lit("e"), F.lit("e \t ")))), 256).alias("digest"))
+    return sources(spark, d).select("doc_id", F.sha2(tx.normalize(F.concat(F.lit(" \r\n"), F.replace("body", F.lit("e"), F.lit("e \t\u3000\u2009 ")))), 256).alias("digest"))
 
 
 def content_digest(spark, d):
@@ -23,12 +23,12 @@ def html_extract(spark, d):
     return p.select("page_id", F.length("body").cast("long").alias("n"), F.sha2("body", 256).alias("digest"))
 
 
-_HTML = "html"
-for _p, _b in ((r"(?is)<(script|style)\b.*?</(script|style)>", "' '"), (r"(?s)<!--.*?-->", "' '"), (r"(?i)<br\s*/?>", "chr(10)"), (r"(?i)</(p|div|h[1-6]|li|tr|section|article)>", "chr(10)"), (r"<[^>]+>", "''")):
-    _HTML = f"regexp_replace({_HTML}, '{_p}', {_b}, 'g')"
-for _e, _b in tx.ENTITIES:
-    _HTML = f"replace({_HTML}, '{_e}', '{_b.replace(chr(39), chr(39) * 2)}')"
-_HTML = f"regexp_replace(regexp_replace({_HTML}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g')"
+#: The rules of extraction written out for SQL: scripts and styles, comments, line breaks, ends of blocks, other tags, entities, blank lines.
+_BLANK = " \\t\\n\\r\\x0b\\x0c\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_HTML = r"""regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)[^>]*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')"""
+_HTML = rf"""regexp_replace(regexp_replace(regexp_replace({_HTML}, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(?:p|div|li|tr|h1|h2|h3|h4|h5|h6|section|article|blockquote|table)>', chr(10), 'g'), '<[^>]+>', '', 'g')"""
+_HTML = f"replace(replace(replace(replace(replace(replace(replace(replace({_HTML}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&#x27;', chr(39)), '&apos;', chr(39)), '&amp;', '&')"
+_HTML = f"regexp_replace(regexp_replace({_HTML}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g')"
 
 
 def quality(spark, d):
@@ -147,7 +147,7 @@ _HASHVEC = f"""u AS (SELECT item_id, unnest({sql_unigrams('text')}) AS term FROM
     b AS (SELECT item_id, term, ('0x' || substr(sha256(term), 1, 8))::BIGINT % 64 AS bucket FROM u)"""
 
 QUERIES = {
-    "normalize_text": (normalize_text, "SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(replace(' ' || chr(13) || chr(10) || replace(text, 'e', 'e ' || chr(9) || ' '), chr(0), ''), '\\r\\n?', chr(10), 'g'), '[ \\t\\x0b\\x0c\\x{85}\\x{a0}]+', ' ', 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')) AS digest FROM documents"),
+    "normalize_text": (normalize_text, "SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(replace(' ' || chr(13) || chr(10) || replace(text, 'e', 'e ' || chr(9) || chr(12288) || chr(8201) || ' '), chr(0), ''), '\\r\\n?', chr(10), 'g'), '[ \\t\\x0b\\x0c\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')) AS digest FROM documents"),
     "content_digest": (content_digest, "SELECT doc_id, sha256(text) AS digest, 'src:' || substr(sha256(text), 1, 16) AS source_id FROM documents"),
     "html_extract": (html_extract, f"SELECT page_id, length(b) AS n, sha256(b) AS digest FROM (SELECT page_id, {_HTML} AS b FROM pages)"),
     "textiness": (lambda s, d: quality(s, d).select("doc_id", "textiness"), f"SELECT doc_id, {_TEXTINESS} AS textiness FROM documents"),
