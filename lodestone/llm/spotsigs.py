@@ -3,6 +3,10 @@
 Everything is built-in functions over arrays. An anchor is any common word; its signature hashes the anchor and the next
 content words. With k common words before an anchor at word a, a - k content words lie before it, which gives the
 chain's place without a loop. A text without any common word takes every word as an anchor.
+
+Near copies of a corpus are found among sets of like length: a set is dealt to the length partition that its size falls
+into and to the next, within which two sets meet by a signature of their prefixes, and Jaccard is worked out only where
+the sizes allow it.
 """
 
 from __future__ import annotations
@@ -11,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, staged
+from .components import components
 from .quality import STOP_WORDS
 
 CHAIN = 3
@@ -50,6 +55,54 @@ def jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(large == 0, 1.0).when(small < large * F.lit(least), 0.0).otherwise(value)
 
 
+def _lists(sets: DataFrame, least: float) -> DataFrame:
+    """(key, sid, n, part, root, root_n, root_part): the sets of each length partition by the signatures of their prefixes, with a list's least set.
+
+    Partition k holds the lengths from least^-k to least^-(k+1): sets that can reach ``least`` lie in one or in two
+    neighbouring ones. Of two sets in the order of signatures, the first n - ceil(least * n) + 1 of each must share one.
+    """
+    part = F.floor(F.log("n") / F.log(F.lit(1 / least)) + 1e-9).cast("int")
+    prefix = F.slice("sigs", F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int"))
+    rows = sets.where("n > 0").select("sid", "n", part.alias("part"), F.explode(prefix).alias("sig"))
+    rows = rows.select("sid", "n", "part", F.explode(F.array(F.struct("sig", F.col("part").alias("at")), F.struct("sig", (F.col("part") + 1).alias("at")))).alias("key"))
+    roots = rows.groupBy("key").agg(F.min(F.struct("sid", "n", "part")).alias("root"), F.count("*").alias("size")).where("size > 1")
+    return rows.join(roots, "key").select("key", "sid", "n", "part", F.col("root.sid").alias("root"), F.col("root.n").alias("root_n"), F.col("root.part").alias("root_part"))
+
+
+def _close(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(u, v) of those pairs whose sets reach ``least``."""
+    x, y = (sets.select(F.col("sid").alias(c), F.col("sigs").alias(f"sigs_{c}")) for c in "uv")
+    return pairs.join(x, "u").join(y, "v").where(jaccard(F.col("sigs_u"), F.col("sigs_v"), least) >= least).select("u", "v")
+
+
+def near_classes(docs: DataFrame, least: float = 0.8, anchors: list[str] = STOP_WORDS, chain: int = CHAIN) -> DataFrame:
+    """doc_id, class_id of each row: the least doc_id that links of signature sets of at least this Jaccard lead to.
+
+    Equal sets are one entry, and so are all texts without signatures. In a list every set is compared with the list's
+    least; only sets that this leaves in different classes are compared with each other, so no list gives all its pairs.
+    Repeated rows and ids stay; null ids name a class only if it has no other. No rows give none.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.col("text"), anchors, chain).alias("sigs"))
+    rows = staged(rows.withColumn("sid", F.xxhash64("sigs")), "signatures")
+    sets = staged(rows.groupBy("sid").agg(F.min("doc_id").alias("holder"), F.first("sigs").alias("sigs")).withColumn("n", F.size("sigs")), "sets")
+    fits = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-9
+    lists = staged(_lists(sets, least), "lists")
+    star = staged(lists.where(F.col("sid") != F.col("root")).where(fits("n", "root_n")).select(F.col("sid").alias("u"), F.col("root").alias("v")).distinct(), "pairs")
+    near = staged(_close(star, sets, least), "near")
+    found = components(near)
+    rest = lists.join(found, F.col("sid") == F.col("node"), "left").select("key", "sid", "n", "part", F.coalesce("label", "sid").alias("label"))
+    split = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    rest = staged(rest.join(split, "key", "left_semi"), "lists")
+    x, y = (rest.select("key", *[F.col(k).alias(f"{k}_{c}") for k in ("sid", "n", "part", "label")]) for c in "uv")
+    # Sets of one partition meet there, those of neighbouring ones in the upper one: never twice.
+    more = x.join(y, "key").where("sid_u > sid_v and label_u <> label_v").where(F.col("key.at") == F.greatest("part_u", "part_v")).where(fits("n_u", "n_v"))
+    more = more.select(F.col("sid_u").alias("u"), F.col("sid_v").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
+    found = components(near.unionByName(staged(_close(more, sets, least), "near")))
+    named = sets.join(found, F.col("sid") == F.col("node"), "left").select("sid", "holder", F.coalesce("label", "sid").alias("component"))
+    whole = named.groupBy("component").agg(F.min("holder").alias("class_id"))
+    return rows.select("doc_id", "sid").join(named.select("sid", "component"), "sid").join(whole, "component").select("doc_id", "class_id")
+
+
 def with_next(rows: DataFrame, id_col: str, columns: tuple[str, ...], parts: int) -> DataFrame:
     """rows with next_<column>: the columns of the row after it in descending id order; after the last comes the first.
 

@@ -225,7 +225,40 @@ def py_signatures(text, anchors, chain):
 @pytest.mark.parametrize("text", ["", "the", "the cat and the dog sat on the mat", "no anchors here whatsoever", "the of and", "The cat. THE CAT!", "x " * 500])
 def test_signature_chains(spark, text):
     got = spark.createDataFrame([(text,)], "t string").select(spotsigs.signatures(F.col("t")).alias("s")).first()["s"]
-    assert len(got) == len(py_signatures(text, set(quality.STOP_WORDS), spotsigs.CHAIN)) and got == sorted(got)
+    want = py_signatures(text, set(quality.STOP_WORDS), spotsigs.CHAIN)
+    hashed = [spark.range(1).select(F.hash(*map(F.lit, [*x, *[None] * (spotsigs.CHAIN + 1 - len(x))])).alias("h")).first()["h"] for x in sorted(want)[:20]]
+    assert len(got) == len(want) and got == sorted(got) and set(hashed) <= set(got)
+
+
+def test_near_classes_are_all_pairs(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(12):
+        base = [x for _ in range(rnd.randrange(5, 60)) for x in (rnd.choice(["the", "of", "and"]), word(), word())]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            own = list(base)
+            for _ in range(rnd.randrange(1, 4)):
+                own[rnd.randrange(len(own))] = word()
+            texts.append(" ".join(own))
+    texts += ["", None, "the", "the", texts[0], texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[1]), (0, texts[5])], "doc_id long, text string")
+    rows = docs.withColumn("s", spotsigs.signatures(F.col("text"))).collect()
+    sets, label = [set(r["s"]) for r in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if label[i] != label[j] and (not a | b or len(a & b) >= 0.8 * len(a | b)):
+                x, y = label[i], label[j]
+                label = [y if k == x else k for k in label]
+    least = {}
+    for r, k in zip(rows, label):
+        least[k] = min((x for x in (least.get(k), r["doc_id"]) if x is not None), default=None)
+    want = sorted(((r["doc_id"], least[k]) for r, k in zip(rows, label)), key=str)
+    assert len({k for k in label}) < len(label) - 10
+    assert sorted((tuple(r) for r in spotsigs.near_classes(docs).collect()), key=str) == want
+    assert spotsigs.near_classes(docs.limit(0)).count() == 0
 
 
 def test_next_document_over_parts(spark):
