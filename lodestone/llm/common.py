@@ -104,6 +104,8 @@ _INNER_SPACE = tuple(b" " + bytes([x]) for x in b" \t\n\x0b\x0c\r")
 _OTHER_SPACE = (b"\t", b"\x0b", b"\x0c", b"\r")
 #: Composed Latin letters: one pre-token under either vocabulary. U+0130 lower-cases to two characters.
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+#: The same as UTF-8.
+_LETTER_BYTES = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+")
 #: Characters whose runs are pre-tokens of their own behind a letter or digit: ASCII punctuation but the apostrophe.
 _STOPS = bytes(x for x in range(33, 127) if not chr(x).isalnum() and x != 39)
 #: Bytes of ASCII and of U+0080-U+017F, where all but two of the characters above U+00BF are letters; the two signs.
@@ -170,6 +172,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.space = chr(self.letters[32])
         self.spaced, self.memory, self.memo, self.old, self.size, self.ends = spaced, memory, {}, {}, 0, {}
         self.apart = _parts_words(self.tokenizer, spaced)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
@@ -191,7 +194,11 @@ class Encoder:
         """The ids of one pre-token."""
         if not text.isalpha() or not text.isascii():
             text = text.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
+        return self._tokens(text)
+
+    def _tokens(self, letters: str) -> bytes:
+        """The ids of one pre-token that is written in the vocabulary's letters."""
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _stops(self, text: bytes) -> bytes:
         if (out := self.ends.get(text)) is None:
@@ -204,6 +211,11 @@ class Encoder:
         """The ids of a piece that isn't among those seen lately."""
         if (out := self.old.get(piece)) is not None:
             return self._remember(piece, out)
+        if piece.isalpha():  # ASCII: each byte is its own letter
+            return self._remember(piece, self._tokens(self.space + piece.decode() if self.spaced else piece.lower().decode()))
+        if _LETTER_BYTES.fullmatch(piece):
+            text = b" " + piece if self.spaced else piece.decode().lower().encode()
+            return self._remember(piece, self._tokens(text.decode("latin-1").translate(self.letters)))
         if piece[:1] == b"\x1f":
             return self._remember(piece, self._stops(piece[1:]))
         if self.spaced and b"\n" in piece[1:]:
@@ -214,11 +226,8 @@ class Encoder:
             return (self._piece(stem) if out is None else out) + self._stops(piece[len(stem) :])
         text = piece.decode()
         starts = self.spaced and text.startswith("\n")
-        if piece.isalpha() or _LETTERS.fullmatch(text, starts):
-            if not self.spaced:
-                out = self._part(text.lower())
-            else:
-                out = self.line + self._part(text[1:]) if starts else self._part(" " + text)
+        if starts and _LETTERS.fullmatch(text, 1):
+            out = self.line + self._part(text[1:])
         else:
             out = self._whole(piece if starts or not self.spaced else b" " + piece)
         return self._remember(piece, out)
