@@ -2,37 +2,50 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import shared_folder
 
 K1, B = 1.2, 0.75
 
 
 class Index:
-    """Postings (term, doc_id, tf, df), lengths (doc_id, dl) and the one row of sizes."""
+    """Postings (term, doc_id, tf, dl), document frequencies (term, df) and the one row of sizes (n, avg_dl).
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "body"):
+    With a path, the postings and what is counted from them are written there, by one scan of the texts; load() opens
+    them again. doc_id tells documents apart; a null text has no tokens but counts as a document. Without a path nothing
+    is written and each use works the postings out anew.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "body", path: str | None = None):
         tokens = docs.select(F.col(id_col).alias("doc_id"), tx.fields(F.col(text_col)).alias("t"))
-        self.lengths = tokens.select("doc_id", F.size("t").alias("dl"))
-        self.tf = tokens.select("doc_id", F.explode("t").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-        self.sizes = self.lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avg_dl"))
+        tokens = tokens.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+        self.tf = tokens.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl")
+        if path:
+            self.tf = _written(self.tf.sortWithinPartitions("term", "doc_id"), f"{path}/postings")
         self.df = self.tf.groupBy("term").agg(F.count("*").alias("df"))
+        total = self.tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("total"))
+        self.sizes = docs.agg(F.count("*").alias("n")).crossJoin(total).select("n", F.coalesce(F.try_divide("total", "n"), F.lit(0.0)).alias("avg_dl"))  # one row each
+        if path:
+            self.df, self.sizes = _written(self.df, f"{path}/terms"), _written(self.sizes, f"{path}/sizes")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        """The index that was written to this path."""
+        self = cls.__new__(cls)
+        self.tf, self.df, self.sizes = (spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "sizes"))
+        return self
 
     def scores(self, queries: DataFrame) -> DataFrame:
-        """(item_id, doc_id, score) of all documents that share a term with a query (item_id, tokens).
-
-        Only the queries' terms are looked up: the postings are cut down to them before anything is joined; document
-        frequencies are counted after that cut.
-        """
-        terms = queries.select("item_id", F.explode(F.array_distinct("tokens")).alias("term"))
-        near = self.tf.join(terms.select("term").distinct(), "term", "left_semi")
-        df = near.groupBy("term").agg(F.count("*").alias("df"))
-        hits = terms.join(df, "term").join(near, "term").join(self.lengths.where("dl > 0"), "doc_id").crossJoin(F.broadcast(self.sizes))  # one row
+        """(item_id, doc_id, score) of all documents that share a term with a query (item_id, tokens): the queries' terms are looked up in the postings."""
+        terms = queries.select("item_id", F.explode(F.array_distinct("tokens")).alias("term")).join(self.df, "term")
+        hits = terms.join(self.tf, "term").crossJoin(F.broadcast(self.sizes))  # one row
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avg_dl")))
         return hits.groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
@@ -49,6 +62,32 @@ class Index:
         return terms.groupBy("item_id").agg(F.round(F.coalesce(F.try_divide(F.sum(F.when(df == 0, w).otherwise(0.0)), F.sum(w)), F.lit(0.0)), 6).alias("gap"))
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+#: Where this process has written indexes: by application, table plan and state of its files.
+_stored: dict[tuple, str] = {}
+
+
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "body") -> Index:
+    """The index of a table of files, written to the shared folder at its first use and read from there as long as no file changes.
+
+    A table's state is its files' names, sizes and times, which Spark knows without reading a column.
+    """
+    spark = docs.sparkSession
+    file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    state = docs.select(file.alias("file")).agg(F.count("*").alias("n"), F.sum(F.col("file").cast("decimal(38,0)")).alias("files")).first()
+    key = (spark.sparkContext.applicationId, docs.semanticHash(), id_col, text_col, state["n"], state["files"])
+    if key not in _stored:
+        path = f"{shared_folder(spark)}/lodestone/index-{uuid.uuid4().hex[:12]}"
+        index = Index(docs, id_col, text_col, path)
+        _stored[key] = path
+        return index
+    return Index.load(spark, _stored[key])
+
+
 def top(rows: DataFrame, key: str, order: list, k: int, name: str = "rnk") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col(name) <= k)
 

@@ -157,7 +157,7 @@ def echoes_query(spark, d):
 
 
 def cite_stability(spark, d):
-    i, q = ix.Index(sources(spark, d)), items(spark, d)
+    i, q = ix.stored(sources(spark, d)), items(spark, d)
     a = i.rank(q, 5).groupBy("item_id").agg(F.collect_set("doc_id").alias("a"))
     b = i.rank(q.withColumn("tokens", F.slice("tokens", 1, 5)), 5).groupBy("item_id").agg(F.collect_set("doc_id").alias("b"))
     return a.join(b, "item_id").select("item_id", ev.stability(F.col("a"), F.col("b")).alias("stability"))
@@ -185,7 +185,7 @@ def adjacent_blocks(spark, d):
 
 def session_bridge(spark, d):
     """Queries whose best document scores under 7 look at their session's documents again: those that held the passages of the three queries before, accepted from 4."""
-    i, q, s = ix.Index(sources(spark, d)), items(spark, d), sources(spark, d)
+    i, q, s = ix.stored(sources(spark, d)), items(spark, d), sources(spark, d)
     score = F.round(tx.keyword_score(F.col("tokens"), F.col("body")), 6)
     first = q.select("item_id", "tokens").join(i.rank(q, 1).select("item_id", "doc_id"), "item_id", "left").join(s.select("doc_id", "body"), "doc_id", "left").select("item_id", "tokens", F.coalesce(score, F.lit(0.0)).alias("first"))
     used = _gold(spark, d).select(F.explode(F.array(*[F.col("item_id") + k for k in (1, 2, 3)])).alias("item_id"), "doc_id").distinct()
@@ -195,12 +195,12 @@ def session_bridge(spark, d):
 
 def fast_answer(spark, d):
     s = sources(spark, d)
-    return ev.fast_answer(items(spark, d), s, ix.Index(s))
+    return ev.fast_answer(items(spark, d), s, ix.stored(s))
 
 
 def deep_answer(spark, d):
     s = sources(spark, d)
-    return ev.deep_answer(items(spark, d), s, ix.Index(s))
+    return ev.deep_answer(items(spark, d), s, ix.stored(s))
 
 
 #: SQL has the texts of up to 100,000 characters; longer ones are sampled by hashes, which a test of its own covers.

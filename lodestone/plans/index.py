@@ -11,7 +11,7 @@ from .common import BM25, ITEMS, POSTINGS, QTERMS, items, read, sources, sql_uni
 
 
 def _index(spark, d):
-    return ix.Index(sources(spark, d))
+    return ix.stored(sources(spark, d))
 
 
 def _odd_items(spark, d):
@@ -39,7 +39,7 @@ def bm25_rank(spark, d):
 def bm25_narrow(spark, d):
     q = items(spark, d).withColumn("tokens", F.when(F.col("item_id") % 5 == 0, F.array(F.lit("zzqxzzqx"))).otherwise(F.col("tokens")))
     s = sources(spark, d)
-    n = ix.narrow(q, s, ix.Index(s).rank(q, 50))
+    n = ix.narrow(q, s, ix.stored(s).rank(q, 50))
     return n.groupBy("item_id").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"), F.count("rnk").alias("ranked"))
 
 
@@ -98,7 +98,7 @@ def pairwise_cosine(spark, d):
 def rerank_cosine(spark, d):
     """Each query's 20 lexically best documents, reordered by their hash vectors' cosine to the query's."""
     s, q = sources(spark, d), items(spark, d)
-    r = ix.Index(s).rank(q, 20)
+    r = ix.stored(s).rank(q, 20)
     qv = lexicon.hash_vectors(read(spark, d, "benchmark"), "item_id", "text").withColumnRenamed("x", "y")
     picked = s.join(r.select("doc_id").distinct(), "doc_id", "left_semi")
     dv = lexicon.hash_vectors(picked, "doc_id", "body")

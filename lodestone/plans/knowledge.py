@@ -207,7 +207,7 @@ def hop_freshness(spark, d):
 
 
 def cite_edges(spark, d):
-    r = ix.Index(sources(spark, d)).rank(items(spark, d), 5)
+    r = ix.stored(sources(spark, d)).rank(items(spark, d), 5)
     rows = r.select(F.col("item_id").alias("cluster"), F.col("doc_id").alias("source"), "score").unionByName(r.select(F.col("item_id"), "doc_id", (F.col("score") - 1).alias("s")).toDF("cluster", "source", "score"))
     return rows.groupBy("cluster", "source").agg(F.max("score").alias("score"), F.count("*").alias("recorded"))
 
