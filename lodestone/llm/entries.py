@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, language_model, mixing, packing, quality, simhash, spotsigs, token_records, warc
+from . import audit, chat, language, language_model, licenses, mixing, packing, quality, resample, simhash, spotsigs, token_records, warc
 from .common import scratch, tokenizer_file
 
 
@@ -62,6 +62,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), 5).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), buckets=10_000, width=1, share=10, least_words=20, seed=2024)
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return licenses.digest(licenses.scanned(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_records, op2_warc, op3_maxent_scores, op4_quality_rules, op5_spotsigs, op6_chat_trees, op7_curriculum_mix, op8_simhash, op9_pack, op10_language, pipeline)}
+    return {f.__name__: f for f in (op1_token_records, op2_warc, op3_maxent_scores, op4_quality_rules, op5_spotsigs, op6_chat_trees, op7_curriculum_mix, op8_simhash, op9_pack, op10_language, op11_filter_audit, op12_resample, op13_licenses, pipeline)}
 
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
@@ -85,6 +98,24 @@ def _rules_sql() -> str:
     return " AND ".join(rules)
 
 
+def _licenses_sql(longest: int = 48) -> str:
+    """Every rule at every word of the documents that hold the rule's needed words; no match is longer than ``longest`` words."""
+    rules = ", ".join(f"({k}, '{r.label}', {r.priority}, {r.confidence}::DOUBLE, '^({r.regex}) ', {[w for w in r.needs if w != 'license']}::VARCHAR[], {'license' in r.needs})" for k, r in enumerate(licenses.RULES))
+    return rf"""
+            WITH r(rank, label, priority, confidence, regex, needs, named) AS (VALUES {rules}),
+            d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+            own AS (SELECT row, r.* FROM d JOIN r ON list_has_all(d.w, r.needs) AND (NOT named OR list_has_any(d.w, ['license', 'licence']))),
+            hits AS (SELECT o.row, rank, label, priority, confidence, p.i - 1 AS a, len(string_split(x, ' ')) AS n FROM own o
+                JOIN (SELECT row, i, array_to_string(w[i:i + {longest - 1}], ' ') || ' ' AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) WHERE row IN (SELECT row FROM own)) p USING (row),
+                LATERAL (SELECT regexp_extract(p.s, o.regex, 1) AS x) WHERE x <> ''),
+            kept AS (SELECT * FROM hits h WHERE priority = 0 OR NOT EXISTS (SELECT 1 FROM hits e WHERE e.row = h.row AND e.a <= h.a AND e.a + e.n >= h.a + h.n AND e.priority <= h.priority
+                AND (e.n > h.n OR e.priority < h.priority OR e.priority = h.priority AND e.rank < h.rank))),
+            g AS (SELECT row, count(*) FILTER (priority = 0) AS n_base, min(a) FILTER (priority = 0) AS first_word, max(a) FILTER (priority = 0) AS last_word,
+                string_agg(DISTINCT label, ',' ORDER BY label) FILTER (priority = 0) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(confidence) AS score FROM kept GROUP BY 1)
+            SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+            FROM d LEFT JOIN g USING (row)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": """
@@ -110,4 +141,36 @@ def oracle_sql() -> dict[str, str]:
             e AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss, 24 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS n FROM c)
             SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, sum(length(loss))::BIGINT AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
             FROM e GROUP BY 1""",
+        "op11_filter_audit": r"""
+            WITH l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+            t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+                100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY t), false)] AS fails
+                FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+            x AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+            o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS ord FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+            s AS (SELECT part, array_to_string(list_transform(ord, lambda k: substr('ABCDE', k, 1)), '') AS filter_order, x.k AS step, ord[x.k] AS own, good, toxic,
+                fails[ord[x.k]] AS hit, list_bool_or([false] || list_transform(ord[1:x.k - 1], lambda k: fails[k])) AS gone, list_sum(list_transform(fails, lambda v: v::INT)) AS n_fails FROM f, o, x),
+            g AS (SELECT part, filter_order, step, any_value(own) AS own, count(*) FILTER (NOT hit AND NOT gone) AS kept, count(*) FILTER (hit AND NOT gone) AS removed, count(*) FILTER (hit AND gone) AS redundant,
+                count(*) FILTER (hit AND n_fails = 1) AS unique_fails, count(*) FILTER (hit AND NOT gone AND good = 1) AS good_lost, count(*) FILTER (hit AND NOT gone AND toxic = 1) AS toxic_lost FROM s GROUP BY 1, 2, 3)
+            SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM g""",
+        "op12_resample": r"""
+            WITH RECURSIVE b(i) AS (SELECT unnest(range(0, 256))),
+            crcs(i, v, k) AS (SELECT i, i::BIGINT, 0 FROM b UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM crcs WHERE k < 8),
+            tab AS (SELECT list(v ORDER BY i) AS t FROM crcs WHERE k = 8),
+            d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+            dw AS (SELECT row, w, count(*) AS n FROM (SELECT row, unnest(w) AS w FROM d) GROUP BY 1, 2),
+            q AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark) GROUP BY 1),
+            v AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM q)),
+            c AS (SELECT w, xor(list_reduce([4294967295::BIGINT] || list_transform(range(0, len(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT), lambda x, y: xor(x // 256, t[xor(x % 256, y) + 1])), 4294967295) % 10000 AS bucket FROM v, tab),
+            s AS (SELECT bucket, sum(n) AS s FROM dw JOIN c USING (w) GROUP BY 1),
+            t AS (SELECT bucket, sum(n) AS t FROM q JOIN c USING (w) GROUP BY 1),
+            a AS (SELECT (SELECT coalesce(sum(n), 0) FROM dw)::DOUBLE AS sa, (SELECT coalesce(sum(n), 0) FROM q)::DOUBLE AS ta),
+            g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sa + 10000) / ((s + 1)::DOUBLE * (ta + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), a),
+            wt AS (SELECT row, sum(n * gain) AS weight FROM dw JOIN c USING (w) JOIN g USING (bucket) GROUP BY 1),
+            sc AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+                FROM d LEFT JOIN wt USING (row)),
+            r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM sc)
+            SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= n * 10 // 100 THEN place END AS rank FROM r""",
+        "op13_licenses": _licenses_sql(),
     }
