@@ -44,7 +44,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 BATCH_BYTES = 4 << 20
 
 
-def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow with batches that are bounded in bytes as well as in rows, so that a worker's memory is."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
@@ -84,6 +84,32 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "utf-8")) % modulus == remainder
 
 
+def _has_map(kind) -> bool:
+    """Whether a type holds a map anywhere; such values can't be hashed as they are."""
+    from pyspark.sql.types import ArrayType, MapType, StructType
+
+    if isinstance(kind, StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, MapType) or isinstance(kind, ArrayType) and _has_map(kind.elementType)
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text, a hash of the whole row (_row) and all columns as one struct (_held): no column's name or type is in the way."""
+    held = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    parts = [F.to_json(F.struct(F.col(f"`{f.name}`").alias("x"))) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in docs.schema]
+    return docs.select("doc_id", "text", F.xxhash64(*parts).alias("_row"), held.alias("_held"))
+
+
+def restored(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns that carried() took along, by the names they had."""
+    return rows.select(*[F.col(f"_held.c{k}").alias(c) for k, c in enumerate(names)])
+
+
+def one_row(rows: DataFrame) -> DataFrame:
+    """One of the carried rows that agree in doc_id and hash; the others are the same rows again."""
+    return rows.dropDuplicates(["_row", "doc_id"])
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value worked out once for each row, however often body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -108,9 +134,10 @@ _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u01
 _LETTER_BYTES = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+")
 #: Characters whose runs are pre-tokens of their own behind a letter or digit: ASCII punctuation but the apostrophe.
 _STOPS = bytes(x for x in range(33, 127) if not chr(x).isalnum() and x != 39)
-#: Bytes of ASCII and of U+0080-U+017F, where all but two of the characters above U+00BF are letters; the two signs.
+#: Bytes of ASCII and of U+0080-U+017F, where all but two of the characters above U+00BF are letters; the two signs, and
+#: U+0130, whose lower-case form ends in a combining dot that goes with the punctuation behind it.
 _LATIN = bytes([*range(0x80), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
-_SIGNS = (b"\xc3\x97", b"\xc3\xb7")
+_SIGNS = (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0")
 #: Letters, digits and other bytes above ASCII as a, stops as they are, white space as a space, all else as x.
 _SORTS = bytes(97 if x > 127 or chr(x).isalnum() else x if x in b".," else 32 if chr(x).isspace() else 120 for x in range(256))
 _LONG = 256

@@ -25,6 +25,16 @@ def test_encoder_is_the_tokenizer(name, spaced, text):
     assert np.frombuffer(e.encode(text.encode()), e.dtype).tolist() == want
 
 
+@pytest.mark.parametrize("name,spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_encoder_on_each_letter_before_stops(name, spaced):
+    """Every character of U+00A0-U+024F, and some beyond, at the end of a word with a stop behind it, within and at the end of lines."""
+    e = encoder(tokenizer_file(name), spaced)
+    for c in [*map(chr, range(0xA0, 0x250)), "\u0307", "\u0130\u0307", "\u1e9e", "\u2126", "\u212a", "\ufb01"]:
+        for frame in ("GAZ{}. Sonra", "ev{}, ve bu", "{}.", "a {}.\n{}, b", "EVLER{}{}. Bu, {}x. y", "{}\n"):
+            t = frame.replace("{}", c)
+            assert np.frombuffer(e.encode(t.encode()), e.dtype).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, (hex(ord(c[0])), t)
+
+
 def test_encoder_forgets_and_agrees():
     e = common.Encoder(tokenizer_file("byte_bpe_50k.json"), True, memory=5)
     for t in ("one two three four five six seven", "x" * 5000, "one two again, and again.\nThen"):
