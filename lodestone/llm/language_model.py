@@ -18,7 +18,10 @@ words of a text are joined to the counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +35,7 @@ _SLOTS = CLASSES * PLACES
 _LOW = KINDS * PLACES  # the part of a number that says kind and place
 _END, _BEFORE = b"\n", b"\r"  # no word holds white space
 _MEMORY = 200_000
-PARTS = 8  # the sums of changes that come to the driver
+SLICE = 1 << 15  # of the weights, summed over the trainers by one task of a level
 _memo: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})  # words seen lately, and before those
 
 
@@ -79,8 +82,6 @@ def tokens_of(text: bytes | None) -> np.ndarray:
 
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with each text's words as numbers (words, bytes of 64-bit integers, the end included) in its place, written once."""
-    import pyarrow as pa
-
     def run(batches):
         take_memory("words", _forget)
         for batch in batches:
@@ -101,8 +102,6 @@ def count(rows: DataFrame) -> DataFrame:
 
     Rows marked near stand apart: how often a kind of ending has words of each of NEAR sorts beside it or one word away.
     """
-    import pyarrow as pa
-
     def run(batches):
         held, size, near = [], 0, np.zeros(KINDS * NEAR, np.int64)
         for batch in batches:
@@ -241,8 +240,6 @@ def train(w: Weights, table: np.ndarray, line: np.ndarray, keep: np.ndarray, sum
 
 def train_round(rows: DataFrame, w: Weights, table: np.ndarray) -> Weights:
     """The common weights after each trainer's steps over its rows: every task of the scan is a trainer."""
-    import pyarrow as pa
-
     sent = rows.sparkSession.sparkContext.broadcast((w.tables, w.class_bias, w.place_bias, table))  # fixed size
 
     def run(batches):
@@ -262,21 +259,35 @@ def train_round(rows: DataFrame, w: Weights, table: np.ndarray) -> Weights:
             n += size
         if n:
             part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part % PARTS], pa.int32()), "n": [n], "moved": [(own.flat() - Weights(tables, cb, pb).flat()).astype(np.float32).tobytes()]})
+            moved = n * (own.flat() - Weights(tables, cb, pb).flat()).astype(np.float64)
+            for k in range(0, len(moved), SLICE):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([k // SLICE], pa.int32()), pa.array([n], pa.int64()), pa.array([moved[k : k + SLICE].tobytes()], pa.binary())], ["part", "slice", "n", "moved"])
 
-    def total(pdf):
-        import pandas as pd
+    trained = in_batches(rows.select("words"), run, "part long, slice int, n long, moved binary")
+    slices = sorted(summed_in_levels(trained, rows.rdd.getNumPartitions()).collect(), key=lambda r: r["slice"])  # the weights' own size
+    return w.moved(np.concatenate([np.frombuffer(r["moved"], np.float64) for r in slices]) / slices[0]["n"]) if slices else w
 
-        s = np.zeros(sum(a * b for a, b in Weights.SHAPES))
-        for n, x in zip(pdf["n"], pdf["moved"]):
-            s += n * np.frombuffer(x, np.float32).astype(np.float64)
-        n = int(pdf["n"].sum())
-        return pd.DataFrame({"n": [n], "moved": [(s / n).astype(np.float32).tobytes()]})
 
-    trained = in_batches(rows.select("words"), run, "part int, n long, moved binary")
-    moves = trained.groupBy("part").applyInPandas(total, "n long, moved binary").collect()  # PARTS rows
-    n = sum(r["n"] for r in moves)
-    return w.moved(sum(r["n"] / n * np.frombuffer(r["moved"], np.float32) for r in moves)) if n else w
+def summed_in_levels(slices: DataFrame, parts: int, fan_in: int = 64) -> DataFrame:
+    """(part, slice, n, moved) summed over parts to one row for each slice, in levels of ``fan_in`` parts.
+
+    A task adds up the rows of one slice from at most ``fan_in`` parts, one row after the other, however many parts there
+    are. No rows give none.
+    """
+
+    def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s = 0, None
+        for b in batches:
+            for m, x in zip(b.column(b.schema.get_field_index("n")).to_pylist(), b.column(b.schema.get_field_index("moved")).to_pylist()):
+                x = np.frombuffer(x, np.float64)
+                n, s = n + m, x if s is None else s + x
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int32()), pa.array([n], pa.int64()), pa.array([s.tobytes()], pa.binary())], ["part", "slice", "n", "moved"])
+
+    while True:
+        parts = -(-parts // fan_in)
+        slices = slices.withColumn("part", F.floor(F.col("part") / fan_in)).groupBy("part", "slice").applyInArrow(total, "part long, slice int, n long, moved binary")
+        if parts <= 1:
+            return slices
 
 
 class Model:
@@ -326,8 +337,6 @@ def score(numbers: DataFrame, model: Model) -> DataFrame:
 
     Rows are scored one by one, equal ones alike; null and blank texts are their end alone. No rows give none.
     """
-    import pyarrow as pa
-
     w, place = model.weights, (model.slot_tokens + model.slot_words + 1).astype(float)
     sent = numbers.sparkSession.sparkContext.broadcast(((w.tables, w.class_bias, w.place_bias), model.table, model.head, np.log10(place)))  # fixed size
     kind = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("path", pa.float64()), ("shares", pa.float64()), ("known", pa.int64()), ("rare", pa.list_(pa.int64()))])

@@ -85,3 +85,14 @@ def test_nothing_to_learn_from(spark):
     rows = lm.numbered(docs.select("doc_id", F.lit(True).alias("held_out"), "text"))
     got = lm.score(rows, lm.fit(rows.where("not held_out"))).collect()
     assert all(math.isfinite(r["score"]) and r["score"] < 0 and r["n_known"] == 0 and r["train_tokens"] == 0 for r in got)
+
+
+def test_changes_are_summed_in_levels(spark):
+    """A thousand trainers' slices add up to their sum, and no task of a level takes more than its fan-in of parts."""
+    rows = spark.range(2000).select((F.col("id") / 2).cast("long").alias("part"), (F.col("id") % 2).cast("int").alias("slice"), (F.col("id") + 1).alias("n"))
+    x = spark.createDataFrame([(r["part"], r["slice"], r["n"], np.full(3, float(r["part"] + r["slice"])).tobytes()) for r in rows.collect()], "part long, slice int, n long, moved binary")
+    got = {r["slice"]: (r["part"], r["n"], np.frombuffer(r["moved"]).tolist()) for r in lm.summed_in_levels(x, 1000, 10).collect()}
+    whole = sum(range(1000))
+    assert got == {0: (0, sum(range(1, 2000, 2)), [whole] * 3), 1: (0, sum(range(2, 2001, 2)), [whole + 1000.0] * 3)}
+    assert str(lm.summed_in_levels(x, 1000, 10)._jdf.queryExecution().analyzed()).count("FlatMapGroupsInArrow") == 3  # 1000, 100, 10, 1
+    assert lm.summed_in_levels(x.limit(0), 1, 10).collect() == []
