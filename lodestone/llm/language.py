@@ -12,6 +12,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import held_out, in_batches, take_memory
 
@@ -162,8 +163,8 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
             cols = [batch.column(k) for k in range(len(names))] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, [*names, "lang_pred", "score"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names]
-    return in_batches(docs.select(*names, F.col("text").alias("_text")), run, ", ".join([*fields, "lang_pred string", "score double"]))
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("_text"))
+    return in_batches(rows, run, StructType([*rows.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def identify(docs: DataFrame, modulus: int = 5, **options) -> DataFrame:
@@ -173,10 +174,14 @@ def identify(docs: DataFrame, modulus: int = 5, **options) -> DataFrame:
 
 
 def accepted(docs: DataFrame, modulus: int = 5, lift: float = 1.15, **options) -> DataFrame:
-    """The rows of docs whose language can be told: not und, and the winner's share at least ``lift`` times an even one."""
+    """The rows of docs whose language can be told: not und, and the winner's share at least ``lift`` times an even one.
+
+    Null texts and texts without letters go; if no row has a language to learn from, all rows stay, and an empty table
+    stays empty. Rows are judged one by one, whatever repeats; columns of any name and type come through as they are.
+    """
     filters = fit(docs.where(~held_out(F.col("doc_id"), modulus, 0)), **options)
     if not filters.langs:
         return docs
-    own = docs.select(*[F.col(c).alias(f"own_{k}") for k, c in enumerate(docs.columns)], F.col("text"))  # whatever the columns' names
+    own = docs.select(*[F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(docs.columns)], F.col("text"))  # whatever the columns' names
     found = predict(own, filters).where((F.col("lang_pred") != "und") & (F.col("score") >= min(1.0, lift / len(filters.langs))))
     return found.select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(docs.columns)])

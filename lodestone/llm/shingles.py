@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, staged, take_memory
+from .common import carried, in_batches, one_row, restored, staged, take_memory
 from .components import components
 from .simhash import bits_over_half, links
 
@@ -159,10 +159,11 @@ def _sized(small: str, large: str, least: float):
 def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """docs with one row left of each component of pairs with at least this Jaccard: that with the least doc_id (null last; of equal ids, one).
 
-    Rows are picked from docs by id and a hash of the whole row; rows that are equal in every column count once.
+    Rows are picked from docs by id and a hash of the whole row; rows that are equal in every column count once. Columns
+    of any name and type come through as they are. Null and blank texts are the empty set, which is one group: one of
+    them stays. An empty table gives an empty one.
     """
-    names = list(docs.columns)
-    marked = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in names]))
+    marked = carried(docs)
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
     own = staged(_entries(marked).groupBy("fp").agg(F.min(first).alias("holder"), F.first("n").alias("n"), F.min("print").alias("print"), F.first("terms").alias("terms")), "sets")
     lists = _lists(own)
@@ -184,4 +185,4 @@ def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
     named = own.join(found, F.col("fp") == F.col("node"), "left").select(F.coalesce("label", "fp").alias("component"), "holder")
     kept = named.groupBy("component").agg(F.min("holder").alias("holder")).select(F.col("holder.row").alias("_r"), F.col("holder.doc_id").alias("_d"))
     picked = marked.join(kept, (F.col("_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    return picked.dropDuplicates(["_row", "doc_id"]).select(*names)
+    return restored(one_row(picked), docs.columns)

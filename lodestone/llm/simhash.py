@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, staged, take_memory
+from .common import carried, in_batches, one_row, restored, staged, take_memory
 from .components import components
 
 WIDTH, SEED, BITS = 4, 42, 4
@@ -165,10 +165,10 @@ def one_of_each(docs: DataFrame, bits: int = BITS, width: int = WIDTH, seed: int
     """docs with one row left of each component: that with the least doc_id (null last; of equal ids, one).
 
     Only ids, a hash of the whole row and fingerprints are written and compared; the kept rows are then picked from docs
-    by id and hash, and rows that are equal in every column count once.
+    by id and hash, and rows that are equal in every column count once. Columns of any name and type come through as they
+    are. Null and blank texts have fingerprint zero, so one of them stays. An empty table gives an empty one.
     """
-    names = list(docs.columns)
-    marked = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in names]))
+    marked = carried(docs)
     rows = fingerprinted(marked.select("doc_id", "_row", "text"), ("doc_id", "_row"), width, seed)
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
     own = rows.groupBy("fp").agg(F.min(first).alias("holder"))
@@ -176,4 +176,4 @@ def one_of_each(docs: DataFrame, bits: int = BITS, width: int = WIDTH, seed: int
     named = own.join(found, F.col("fp") == F.col("node"), "left").select(F.coalesce("label", "fp").alias("component"), "holder")
     kept = named.groupBy("component").agg(F.min("holder").alias("holder")).select(F.col("holder.row").alias("_r"), F.col("holder.doc_id").alias("_d"))
     picked = marked.join(kept, (F.col("_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    return picked.dropDuplicates(["_row", "doc_id"]).select(*names)
+    return restored(one_row(picked), docs.columns)

@@ -338,6 +338,26 @@ def test_stages_keep_columns_of_any_name(spark):
     assert {tuple(r)[2:] for r in got.collect()} <= {r[2:] for r in rows}
 
 
+def test_near_copies_keep_columns_of_any_name_and_type(spark):
+    """Names that the stages use themselves, dots in names, maps, structs and arrays come through every stage as they are."""
+    from pyspark.sql import functions as F
+
+    text = [f"the plain words of document number {k} are here for the test of all that it keeps and {'more ' * (k % 3)}then ends" for k in range(12)]
+    rows = [(k, text[k % 9], ("en", None)[k % 2], "s", 777, "r", 5, 1, {"a": k}, {"b": 2}, [k], "x") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _row long, _r string, _d int, `a.b` int, m map<string,int>, s struct<b: int>, l array<int>, _held string")
+    for stage in ("quality rules", "language id", "simhash near-dedup", "mixing sources"):
+        got = after(spark, docs, stage)
+        assert got.columns == docs.columns and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+        back = {r["doc_id"]: r for r in got.collect()}
+        assert back and all(back[k][2:] == docs.where(F.col("doc_id") == k).first()[2:] for k in list(back)[:3])
+    assert sorted(r["doc_id"] for r in after(spark, docs, "simhash near-dedup").collect()) == list(range(9))
+    from lodestone.llm import simhash
+
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect())[:1] == [0] and simhash.one_of_each(docs).columns == docs.columns
+    packed = after(spark, docs, "packing").collect()
+    assert {r["doc_id"] for r in packed} == set(range(12))
+
+
 def shingled(text):
     ws = lower(text).split()
     return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
