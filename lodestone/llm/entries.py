@@ -104,7 +104,7 @@ def _licenses_sql(longest: int = 48) -> str:
     return rf"""
             WITH r(rank, label, priority, confidence, regex, needs, named) AS (VALUES {rules}),
             d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-            own AS (SELECT row, r.* FROM d JOIN r ON list_has_all(d.w, r.needs) AND (NOT named OR list_has_any(d.w, ['license', 'licence']))),
+            own AS (SELECT row, r.* FROM d JOIN r ON list_has_all(d.w, r.needs) AND (NOT named OR list_has_any(d.w, ['license', 'licence'])) AND regexp_matches(' ' || array_to_string(d.w, ' ') || ' ', ' ' || substr(r.regex, 2))),
             hits AS (SELECT o.row, rank, label, priority, confidence, p.i - 1 AS a, len(string_split(x, ' ')) AS n FROM own o
                 JOIN (SELECT row, i, array_to_string(w[i:i + {longest - 1}], ' ') || ' ' AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) WHERE row IN (SELECT row FROM own)) p USING (row),
                 LATERAL (SELECT regexp_extract(p.s, o.regex, 1) AS x) WHERE x <> ''),

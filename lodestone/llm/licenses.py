@@ -47,6 +47,7 @@ mit-0 | mit no attribution(?: LIC)? | attribution mit
 apache-1 | apache(?: software)? LIC(?: version| v)? 1(?: 0)? | apache 1
 apache-1-1 | apache(?: software)? LIC(?: version| v)? 1 1 | apache 1
 apache-2 | apache(?: software)? LIC(?: version| v)? 2(?: 0)? | apache 2
+apache-2 | apache(?: software)? LIC v2(?: 0)? | apache v2
 apache-2 | apache 2 0 | apache 2 0
 apache | apache(?: software)? LIC | apache
 bsd-2 | (?:simplified|freebsd) bsd LIC | bsd
@@ -80,6 +81,7 @@ epl | eclipse public LIC | eclipse public
 mpl-1 | mozilla public LIC(?: version| v)? 1 0 | mozilla public 1
 mpl-1-1 | mozilla public LIC(?: version| v)? 1 1 | mozilla public 1
 mpl-2 | mozilla public LIC(?: version| v)? 2(?: 0)? | mozilla public 2
+mpl-2 | mozilla public LIC v2(?: 0)? | mozilla public v2
 mpl-2 | mpl(?: version| v)? 2(?: 0)? | mpl 2
 mpl | mozilla public LIC | mozilla public
 cddl-1 | common development and distribution LIC(?: version)? 1(?: 0)? | common development 1
