@@ -10,49 +10,138 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import shared_folder
+from ..session import kept_table, shared_folder
 
 K1, B = 1.2, 0.75
 
 
+#: Steps of a posting's impact, which lies below K1 + 1: the postings of a term in one step are a block with a largest impact.
+STEPS = 16
+#: Postings of each query that its threshold is found from, or twenty for each document wanted.
+FIRST_POSTINGS = 2048
+#: Scores are rounded to six places, and rounding may not cost a document its place.
+_SLACK = 2e-6
+_POSTING = "term string, doc_id {id}, tf long, dl int, impact double, part int"
+_TERM = "term string, df long, top double, blocks array<struct<step: int, n: long>>, first_part int, last_part int"
+
+
 class Index:
-    """Postings (term, doc_id, tf, dl), document frequencies (term, df) and the one row of sizes (n, avg_dl).
+    """Postings in order of term and impact, the terms' blocks, and the one row of sizes (n, avg_dl).
+
+    postings (term, doc_id, tf, dl, impact, part) are range-partitioned by term, impact from high to low and doc_id, so a
+    common term's go on over several parts; terms (term, df, top, blocks, first_part, last_part) says how many postings each
+    block has, what the largest impact is and in which parts they lie. A posting adds idf * impact to a score.
 
-    With a path, the postings and what is counted from them are written there, by one scan of the texts; load() opens
-    them again. doc_id tells documents apart; a null text has no tokens but counts as a document. Without a path nothing
-    is written and each use works the postings out anew.
+    With a path, all this is written there, by one scan of the texts; load() opens it again, and a lookup opens the
+    files of its terms' parts alone. doc_id tells documents apart; a null text has no tokens but counts as a document.
+    Without a path nothing is written and each use works the postings out anew. parts: of the written postings, by
+    default as many as shuffles have.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "body", path: str | None = None):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "body", path: str | None = None, parts: int | None = None):
         tokens = docs.select(F.col(id_col).alias("doc_id"), tx.fields(F.col(text_col)).alias("t"))
         tokens = tokens.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-        self.tf = tokens.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl")
+        tf = tokens.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl")
         if path:
-            self.tf = _written(self.tf.sortWithinPartitions("term", "doc_id"), f"{path}/postings")
-        self.df = self.tf.groupBy("term").agg(F.count("*").alias("df"))
-        total = self.tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("total"))
+            tf = _written(tf, f"{path}/counts")
+        total = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("double").alias("total"))
         self.sizes = docs.agg(F.count("*").alias("n")).crossJoin(total).select("n", F.coalesce(F.try_divide("total", "n"), F.lit(0.0)).alias("avg_dl"))  # one row each
         if path:
-            self.df, self.sizes = _written(self.df, f"{path}/terms"), _written(self.sizes, f"{path}/sizes")
+            self.sizes = _written(self.sizes, f"{path}/sizes")
+        impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avg_dl")))
+        self.postings = tf.crossJoin(F.broadcast(self.sizes)).select("term", "doc_id", "tf", "dl", impact.alias("impact"))
+        if path:
+            order = (F.col("term"), F.desc("impact"), F.col("doc_id"))
+            dealt = self.postings.repartitionByRange(parts, *order) if parts else self.postings.repartitionByRange(*order)
+            dealt.withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", *order).write.partitionBy("part").parquet(f"{path}/postings")
+            self.postings = _read_postings(docs.sparkSession, path)
+        else:
+            self.postings = self.postings.withColumn("part", F.lit(0))
+        blocks = self.postings.groupBy("term", F.floor(F.col("impact") * STEPS).cast("int").alias("step")).agg(F.count("*").alias("n"), F.max("impact").alias("top"), F.min("part").alias("first_part"), F.max("part").alias("last_part"))
+        self.terms = blocks.groupBy("term").agg(
+            F.sum("n").alias("df"), F.max("top").alias("top"), F.sort_array(F.collect_list(F.struct("step", "n")), asc=False).alias("blocks"),  # (K1 + 1) * STEPS at most
+            F.min("first_part").alias("first_part"), F.max("last_part").alias("last_part"),
+        )
+        if path:
+            self.terms = _written(self.terms.repartitionByRange("term").sortWithinPartitions("term"), f"{path}/terms")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         """The index that was written to this path."""
         self = cls.__new__(cls)
-        self.tf, self.df, self.sizes = (spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "sizes"))
+        self.postings, self.terms, self.sizes = _read_postings(spark, path), spark.read.schema(_TERM).parquet(f"{path}/terms"), spark.read.schema("n long, avg_dl double").parquet(f"{path}/sizes")
         return self
 
-    def scores(self, queries: DataFrame) -> DataFrame:
-        """(item_id, doc_id, score) of all documents that share a term with a query (item_id, tokens): the queries' terms are looked up in the postings."""
-        terms = queries.select("item_id", F.explode(F.array_distinct("tokens")).alias("term")).join(self.df, "term")
-        hits = terms.join(self.tf, "term").crossJoin(F.broadcast(self.sizes))  # one row
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avg_dl")))
-        return hits.groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    @property
+    def tf(self) -> DataFrame:
+        """(term, doc_id, tf, dl)."""
+        return self.postings.select("term", "doc_id", "tf", "dl")
 
-    def rank(self, queries: DataFrame, k: int) -> DataFrame:
-        """The k best documents of each query with rnk; ties by doc_id."""
-        return top(self.scores(queries), "item_id", [F.desc("score"), F.col("doc_id")], k)
+    @property
+    def df(self) -> DataFrame:
+        """(term, df)."""
+        return self.terms.select("term", "df")
+
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """(item_id, term, df, top, blocks, first_part, last_part, idf, avg_dl) of the distinct terms of queries (item_id, tokens) that some document has."""
+        terms = queries.select("item_id", F.explode(F.array_distinct("tokens")).alias("term")).join(self.terms, "term").crossJoin(F.broadcast(self.sizes))  # one row
+        return terms.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).drop("n").where("df > 0")
+
+    def looked_up(self, wanted: DataFrame) -> DataFrame:
+        """wanted (rows of asked(), with more columns) with their postings, of at least the impact ``from`` if there is such a column: only the parts that hold the terms are opened."""
+        parts = wanted.withColumn("part", F.explode(F.sequence("first_part", "last_part"))).drop("first_part", "last_part", "blocks")
+        opened = sorted(r["part"] for r in parts.select("part").distinct().collect())  # at most as many as the index has
+        rows = parts.join(self.postings.where(F.col("part").isin(opened)), ["part", "term"])
+        return rows.where(F.col("impact") >= F.col("from")) if "from" in wanted.columns else rows
+
+    def scores(self, queries: DataFrame) -> DataFrame:
+        """(item_id, doc_id, score) of all documents that share a term with a query (item_id, tokens)."""
+        return self.looked_up(self.asked(queries)).groupBy("item_id", "doc_id").agg(F.round(F.sum(_part()), 6).alias("score")).where("score > 0")
+
+    def rank(self, queries: DataFrame, k: int, few: int = 1 << 26) -> DataFrame:
+        """The k best documents of each query with rnk; ties by doc_id: the k best of scores(), without adding up all of them.
+
+        Where the terms' lists have no more than ``few`` postings together, adding them up is cheaper than what follows.
+
+        A query's threshold is a score that k documents reach: the k-th best sum over the first blocks of its rarest
+        terms. Its commonest terms, as long as their largest parts together stay below the threshold, can't carry a document
+        alone: candidates come from the postings of the other terms, of the commonest of those only from the blocks that
+        can make a difference. A candidate whose sum and the bounds of what it may still get stay below the k-th best sum
+        goes; the others' missing parts are looked up.
+        """
+        own = kept_table(self.asked(queries), "asked")  # a row for each term of a query
+        if own.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0] <= few:
+            scores = self.looked_up(own).groupBy("item_id", "doc_id").agg(F.round(F.sum(_part()), 6).alias("score")).where("score > 0")
+            return top(scores, "item_id", [F.desc("score"), F.col("doc_id")], k)
+        size = max(FIRST_POSTINGS, 20 * k)
+        rare = W.partitionBy("item_id").orderBy("df", "term")
+        rows = own.withColumn("seen", F.sum("df").over(rare.rowsBetween(W.unboundedPreceding, 0)) - F.col("df"))
+        first = self.looked_up(rows.where(F.col("seen") < size).withColumn("from", F.when(F.col("seen") + F.col("df") <= size, 0.0).otherwise(_reached("blocks", size))))
+        enough = self._kth(first.groupBy("item_id", "doc_id").agg(F.sum(_part()).alias("sum")), k)
+        bound = F.col("idf") * F.col("top")
+        common = W.partitionBy("item_id").orderBy(F.desc("df"), "term").rowsBetween(W.unboundedPreceding, 0)
+        rows = own.join(enough, "item_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - _SLACK).withColumn("below", F.sum(bound).over(common) - bound)
+        # skipped: below the threshold with all commoner ones. edge: the first that isn't; what it may hold unseen is half of what is left.
+        rows = rows.withColumn("edge", (F.col("below") < F.col("least")) & (F.col("below") + bound >= F.col("least")))
+        rows = rows.withColumn("skipped", F.col("below") + bound < F.col("least")).withColumn("left", F.when(F.col("edge"), F.least((F.col("least") - F.col("below")) / 2, bound)))
+        rows = kept_table(rows, "bounds")
+        essential = self.looked_up(rows.where(~F.col("skipped")).withColumn("from", F.coalesce(F.col("left") / F.col("idf") * (1 - 1e-9), F.lit(0.0))))
+        found = essential.groupBy("item_id", "doc_id").agg(F.sum(_part()).alias("sum"), F.max("edge").alias("edge_seen"))
+        open_ = rows.groupBy("item_id").agg(F.coalesce(F.sum(F.when(F.col("skipped"), F.col("idf") * F.col("top"))), F.lit(0.0)).alias("rest"), F.coalesce(F.max("left"), F.lit(0.0)).alias("left"))
+        found = found.join(open_, "item_id").withColumn("place", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("sum"))))
+        kth = F.max(F.when(F.col("place") >= k, F.col("sum"))).over(W.partitionBy("item_id"))
+        most = F.col("sum") + F.col("rest") + F.when(F.col("edge_seen"), 0.0).otherwise(F.col("left"))
+        kept = found.withColumn("kth", kth).where(F.col("kth").isNull() | (most >= F.col("kth") - _SLACK)).select("item_id", "doc_id", "sum", "edge_seen")
+        lacking = rows.where(F.col("skipped") | F.col("edge")).select("item_id", "term", "idf", "avg_dl", "edge", "first_part", "last_part")
+        lists = self.looked_up(lacking.select("term", "first_part", "last_part").distinct()).select("term", "doc_id", "tf", "dl")
+        pairs = kept.join(lacking.drop("first_part", "last_part"), "item_id", "left").withColumn("term", F.when(~(F.col("edge") & F.col("edge_seen")), F.col("term")))
+        scores = pairs.join(lists, ["term", "doc_id"], "left").groupBy("item_id", "doc_id").agg(F.round(F.first("sum") + F.coalesce(F.sum(_part()), F.lit(0.0)), 6).alias("score")).where("score > 0")
+        return top(scores, "item_id", [F.desc("score"), F.col("doc_id")], k)
+
+    def _kth(self, sums: DataFrame, k: int) -> DataFrame:
+        """(item_id, least): the k-th largest sum of each query that has so many."""
+        place = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("sum")))
+        return sums.withColumn("place", place).where(F.col("place") == k).select("item_id", F.col("sum").alias("least"))
 
     def gaps(self, queries: DataFrame) -> DataFrame:
         """(item_id, gap): the share of a query's squared term weights that no document covers."""
@@ -62,9 +151,30 @@ class Index:
         return terms.groupBy("item_id").agg(F.round(F.coalesce(F.try_divide(F.sum(F.when(df == 0, w).otherwise(0.0)), F.sum(w)), F.lit(0.0)), 6).alias("gap"))
 
 
+def _part() -> Column:
+    """What a posting adds to a score."""
+    return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("dl") / F.col("avg_dl")))
+
+
+def _reached(blocks: str, n: int) -> Column:
+    """An impact that at least n of a term's postings reach, from its blocks in falling order; 0 if it has fewer."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("step"))
+
+    def add(s: Column, x: Column) -> Column:
+        return F.when(s["n"] >= n, s).otherwise(F.struct((s["n"] + x["n"]).alias("n"), x["step"].alias("step")))
+
+    end = F.aggregate(blocks, zero, add)
+    return F.when(end["n"] >= n, end["step"] / STEPS).otherwise(0.0)
+
+
 def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _read_postings(spark: SparkSession, path: str) -> DataFrame:
+    kind = spark.read.parquet(f"{path}/counts").schema["doc_id"].dataType.simpleString()
+    return spark.read.schema(_POSTING.format(id=kind)).parquet(f"{path}/postings")
 
 
 #: Where this process has written indexes: by application, table plan and state of its files.
@@ -106,35 +216,68 @@ def gate(queries: DataFrame, ranked: DataFrame, gaps: DataFrame, least_top: floa
     return g.withColumn("rewrite", (F.col("top") < least_top) | (F.col("gap") >= most_gap))
 
 
+#: The most bytes of an Arrow batch to a Python worker that multiplies blocks.
+BLOCK_BYTES = 8 << 20
+
+
+def _blocks(vectors: DataFrame, name: str, block: int, n: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors (id, e) in hashed blocks of about so many rows: (name, rows as one array), and the one row with their number n."""
+    size = vectors.agg(F.greatest(F.lit(1), F.floor(F.count("*") / block)).alias(n))
+    rows = vectors.crossJoin(F.broadcast(size)).groupBy(F.pmod(F.xxhash64("id"), F.col(n)).alias(name))  # one row
+    return rows.agg(F.collect_list(F.struct("id", "e")).alias(f"{name}_rows")), size
+
+
+def _matrix(cell) -> tuple:
+    """(ids, matrix) of a block."""
+    rows = cell.values
+    ids = rows.field("id").to_numpy(zero_copy_only=False)
+    return ids, rows.field("e").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+
+def _cosines(x, y):
+    import numpy as np
+
+    return (x @ y.T) / np.maximum(np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)), 1e-300)
+
+
+def _meet(left: DataFrame, right: DataFrame, places: DataFrame, run, schema: str) -> DataFrame:
+    """run over batches of (i, j, i_rows, j_rows): the blocks of each place (i, j), dealt out by equi-joins."""
+    left.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BLOCK_BYTES))
+    return places.join(left, "i").join(right, "j").select("i", "j", "i_rows", "j_rows").mapInArrow(run, schema)
+
+
+def _plain(vectors: DataFrame, key: str = "vec_id") -> DataFrame:
+    return vectors.select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024, same: bool = False) -> DataFrame:
     """Exact k nearest vectors of a stated set of queries (query_id, embedding) by cosine: (query_id, vec_id, cosine, rnk).
 
-    Queries are gathered into blocks; each task multiplies a batch of vectors by every block it is sent and keeps the
-    block's k best, so a batch sends on k rows for each query and never all pairs.
+    Queries and vectors are gathered into blocks; each task multiplies the blocks it is dealt and keeps each query's k
+    best, so a block sends on k rows for each query and never all pairs.
     """
     import numpy as np
     import pyarrow as pa
 
-    numbered = queries.select(F.col("query_id").cast("long").alias("q"), F.col("embedding").cast("array<double>").alias("e"))
-    blocks = numbered.groupBy(F.pmod(F.xxhash64("q"), F.greatest(F.lit(1), F.lit(queries.count() // block))).alias("b")).agg(F.collect_list(F.struct("q", "e")).alias("qs"))
-    batches = vectors.select(F.col("vec_id").cast("long").alias("v"), F.col("embedding").cast("array<double>").alias("e"))
-    batches = batches.groupBy(F.pmod(F.xxhash64("v"), F.greatest(F.lit(1), F.lit(vectors.count() // (4 * block)))).alias("p")).agg(F.collect_list(F.struct("v", "e")).alias("vs"))
+    a, n = _blocks(_plain(queries, "query_id"), "i", block, "n")
+    b, m = _blocks(_plain(vectors), "j", 4 * block, "m")
+    places = n.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).crossJoin(F.broadcast(m)).select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("j"))
 
     def run(parts):
         for part in parts:
-            for qs, vs in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                a, c = np.array([x["e"] for x in qs]), np.array([x["e"] for x in vs])
-                na, nc = np.linalg.norm(a, axis=1), np.linalg.norm(c, axis=1)
-                s = np.round((a @ c.T) / np.maximum(np.outer(na, nc), 1e-300), 9)
-                vid, out = np.array([x["v"] for x in vs]), {"query_id": [], "vec_id": [], "cosine": []}
-                for i, x in enumerate(qs):
-                    row = np.where(vid == x["q"], -2.0, s[i]) if not same else s[i]
-                    for j in np.lexsort((vid, -row))[:k]:
-                        if row[j] > -2:
-                            out["query_id"].append(x["q"]), out["vec_id"].append(int(vid[j])), out["cosine"].append(float(row[j]))
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("cosine", pa.float64())]))
-
-    found = blocks.select("qs").join(batches.select("vs"), how="cross").mapInArrow(run, "query_id long, vec_id long, cosine double")  # block by block, not row by row
+            for qs, vs in zip(part.column(2), part.column(3)):
+                (q, x), (v, y) = _matrix(qs), _matrix(vs)
+                s = np.round(_cosines(x, y), 9)
+                if not same:
+                    s[q[:, None] == v[None, :]] = -2.0
+                out = {"query_id": [], "vec_id": [], "cosine": []}
+                for i, row in enumerate(s):
+                    best = np.lexsort((v, -row))[:k]
+                    best = best[row[best] > -2]
+                    out["query_id"].append(np.full(len(best), q[i])), out["vec_id"].append(v[best]), out["cosine"].append(row[best])
+                yield pa.RecordBatch.from_pydict({c: np.concatenate(x) for c, x in out.items()})
+
+    found = _meet(a, b, places, run, "query_id long, vec_id long, cosine double")
     return top(found.withColumn("cosine", F.round("cosine", 6)), "query_id", [F.desc("cosine"), F.col("vec_id")], k)
 
 
@@ -143,22 +286,41 @@ def close_pairs(vectors: DataFrame, least: float, block: int = 1024) -> DataFram
     import numpy as np
     import pyarrow as pa
 
-    n = max(1, vectors.count() // block)
-    v = vectors.select(F.col("vec_id").cast("long").alias("v"), F.col("embedding").cast("array<double>").alias("e"))
-    b = v.groupBy(F.pmod(F.xxhash64("v"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("v", "e")).alias("vs"))
+    left, n = _blocks(_plain(vectors), "i", block, "n")
+    right = left.select(F.col("i").alias("j"), F.col("i_rows").alias("j_rows"))
+    places = n.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select("i", F.explode(F.sequence(F.col("i"), F.col("n") - 1)).alias("j"))
 
     def run(parts):
         for part in parts:
-            for same, left, right in zip(*(part.column(k).to_pylist() for k in range(3))):
-                x, y = np.array([r["e"] for r in left]), np.array([r["e"] for r in right])
-                s = (x @ y.T) / np.maximum(np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)), 1e-300)
-                i, j = np.nonzero(np.round(s, 6) >= least)
-                p, q = np.array([r["v"] for r in left])[i], np.array([r["v"] for r in right])[j]
-                keep = p < q if same else p != q
-                yield pa.RecordBatch.from_pydict({"a": np.minimum(p, q)[keep], "b": np.maximum(p, q)[keep], "cosine": s[i, j][keep]})
-
-    pairs = b.alias("l").join(b.alias("r"), F.col("l.b") <= F.col("r.b")).select((F.col("l.b") == F.col("r.b")).alias("same"), F.col("l.vs").alias("x"), F.col("r.vs").alias("y"))
-    return pairs.mapInArrow(run, "a long, b long, cosine double").withColumn("cosine", F.round("cosine", 6))
+            for i, j, xs, ys in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3)):
+                (p, x), (q, y) = _matrix(xs), _matrix(ys)
+                s = _cosines(x, y)
+                r, c = np.nonzero(np.round(s, 6) >= least)
+                keep = p[r] < q[c] if i == j else p[r] != q[c]
+                p, q, s = p[r][keep], q[c][keep], s[r, c][keep]
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(p, q), "b": np.maximum(p, q), "cosine": s})
+
+    return _meet(left, right, places, run, "a long, b long, cosine double").withColumn("cosine", F.round("cosine", 6))
+
+
+def close_between(some: DataFrame, vectors: DataFrame, least: float, block: int = 1024) -> DataFrame:
+    """(a, b, cosine) of at least this cosine, a among some and b among vectors (vec_id, embedding), a and b different."""
+    import numpy as np
+    import pyarrow as pa
+
+    left, n = _blocks(_plain(some), "i", block, "n")
+    right, m = _blocks(_plain(vectors), "j", block, "m")
+    places = n.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).crossJoin(F.broadcast(m)).select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("j"))
+
+    def run(parts):
+        for part in parts:
+            for xs, ys in zip(part.column(2), part.column(3)):
+                (p, x), (q, y) = _matrix(xs), _matrix(ys)
+                s = _cosines(x, y)
+                r, c = np.nonzero((np.round(s, 6) >= least) & (p[:, None] != q[None, :]))
+                yield pa.RecordBatch.from_pydict({"a": p[r], "b": q[c], "cosine": s[r, c]})
+
+    return _meet(left, right, places, run, "a long, b long, cosine double").withColumn("cosine", F.round("cosine", 6))
 
 
 GRAM = 4

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import kept_table
 
 REUSE, MERGE, GATE = 0.85, 0.55, 0.15
 
@@ -67,16 +68,17 @@ def merged_greedily(pairs: DataFrame) -> DataFrame:
     always merges, so the rounds end.
     """
     rank = F.struct((-F.col("cosine")).alias("c"), F.col("a").alias("a"), F.col("b").alias("b"))
-    left = pairs.select(F.least("a", "b").alias("winner"), F.greatest("a", "b").alias("loser"), rank.alias("rank")).localCheckpoint()
+    left = pairs.select(F.least("a", "b").alias("winner"), F.greatest("a", "b").alias("loser"), rank.alias("rank"))
+    left = kept_table(left, "merge-pairs")
     done = left.limit(0)
     while not left.isEmpty():
         first = left.groupBy("loser").agg(F.min("rank").alias("first"))
         at = left.join(first, "loser").join(first.select(F.col("loser").alias("winner"), F.col("first").alias("before")), "winner", "left")
-        now = at.where((F.col("rank") == F.col("first")) & (F.col("before").isNull() | (F.col("rank") < F.col("before")))).select("winner", "loser", "rank").localCheckpoint()
+        now = kept_table(at.where((F.col("rank") == F.col("first")) & (F.col("before").isNull() | (F.col("rank") < F.col("before")))).select("winner", "loser", "rank"), "merge-now")
         gone = now.select(F.col("loser").alias("gone"), F.col("rank").alias("at"))
         rest = left.join(gone.select(F.col("gone").alias("loser")), "loser", "left_anti").join(gone.withColumnRenamed("gone", "winner"), "winner", "left")
-        left = rest.where(F.col("at").isNull() | (F.col("rank") < F.col("at"))).select("winner", "loser", "rank").localCheckpoint()
-        done = done.unionByName(now).localCheckpoint()
+        left = kept_table(rest.where(F.col("at").isNull() | (F.col("rank") < F.col("at"))).select("winner", "loser", "rank"), "merge-pairs")
+        done = done.unionByName(now)
     return done.orderBy("rank").select("winner", "loser")
 
 
@@ -105,21 +107,61 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
 
 
-def expand(starts: DataFrame, edges: DataFrame, depth: int = 2, least: float = 0.5, most: int = 32, barriers: DataFrame | None = None) -> DataFrame:
-    """(start, node, depth, score): nodes within so many hops over edges (a, b, weight, boost), each at its first depth, by its best path.
+#: What a walked pathway counts more than a one-off link of the same weight.
+PATHWAY = 1.5
 
-    A path's score is the sum of its edges' weights, pathways counting 1.5 times. Nodes that a start has a barrier to
-    are left out. The cut to ``most`` is by depth, then score, then node.
+
+def directed(edges: DataFrame, direction: str) -> DataFrame:
+    """edges (a, b, weight and more) as steps from a to b: as they are (out), turned round (in), or both (any)."""
+    rest = [c for c in edges.columns if c not in ("a", "b")]
+    out = edges.select("a", "b", *rest)
+    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), *rest)
+    return {"out": out, "in": back, "any": out.unionByName(back)}[direction]
+
+
+def barred(starts: DataFrame, edges: DataFrame, direction: str = "any") -> DataFrame:
+    """(start, node): what a barrier edge keeps out of a start's neighbourhood, at every depth; those that lead in count unless only ways out do."""
+    b = edges.where(F.col("kind") == "barrier").select("a", "b")
+    ends = directed(b, "out" if direction == "out" else "any")
+    return starts.select("start").join(ends, F.col("start") == F.col("a")).where("a <> b").select("start", F.col("b").alias("node")).distinct()
+
+
+def fit_nodes(nodes: DataFrame, hotness: float = 0.0, confidence: float = 0.0) -> DataFrame:
+    """Clusters (node, hotness, confidence, lifecycle) that an expansion may reach: not deprecated, as hot and as sure as wanted."""
+    return nodes.where((F.col("lifecycle") != "deprecated") & (F.col("hotness") >= hotness) & (F.col("confidence") >= confidence))
+
+
+def expand(starts: DataFrame, edges: DataFrame, depth: int = 2, least: float = 0.5, most: int = 32, direction: str = "out", nodes: DataFrame | None = None, hop_nearest: int | None = None, barriers: DataFrame | None = None) -> DataFrame:
+    """(start, node, depth, score, place): nodes within so many hops of each start, each at its first depth, by its best path.
+
+    edges have a, b, weight and kind (plain, pathway or barrier): a path's score is the sum of its edges' weights, pathways
+    counting PATHWAY times; edges below ``least`` and barriers are not walked, and what a start has a barrier to is left
+    out at every depth (``barriers`` (start, node) bars more). nodes: only these are reached; with their embedding and
+    hop_nearest, each step from a node goes on to the neighbours nearest to the start's probe by cosine alone (ties: the
+    smaller node), so starts need a probe then. The cut to ``most`` is by depth, then score, then node. Null ends of edges
+    lead nowhere; no starts or no edges give no rows. Rounds beyond the second read the nodes seen so far from the shared
+    folder, so that no plan grows with the depth.
     """
-    e = edges.where(F.col("weight") >= least).select(F.col("a"), F.col("b"), (F.col("weight") * F.col("boost")).alias("w"))
-    seen = starts.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(0.0).alias("score"))
+    e = directed(edges.where((F.col("weight") >= least) & (F.col("kind") != "barrier")), direction)
+    e = e.select("a", "b", (F.col("weight") * F.when(F.col("kind") == "pathway", PATHWAY).otherwise(1.0)).alias("w")).groupBy("a", "b").agg(F.max("w").alias("w"))  # the best of parallel edges
+    if nodes is not None:
+        e = e.join(nodes.select(F.col("node").alias("b"), *([F.col("embedding")] if hop_nearest else [])), "b")
+    out = barred(starts, edges, direction)
+    if barriers is not None:
+        out = out.unionByName(barriers.select("start", "node"))
+    probes = starts.select("start", "probe") if hop_nearest else None
+    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(0.0).alias("score")).distinct()
     front = seen
     for k in range(1, depth + 1):
-        step = front.join(e, front["node"] == e["a"]).select("start", F.col("b").alias("node"), (F.col("score") + F.col("w")).alias("score"))
-        step = step.groupBy("start", "node").agg(F.max("score").alias("score")).join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        if barriers is not None:
-            step = step.join(barriers, ["start", "node"], "left_anti")
-        front = step.select("start", "node", F.lit(k).alias("depth"), "score")
+        step = front.select("start", F.col("node").alias("a"), "score").join(e, "a")
+        step = step.join(seen.select("start", F.col("node").alias("b")), ["start", "b"], "left_anti").join(out.select("start", F.col("node").alias("b")), ["start", "b"], "left_anti")
+        if hop_nearest:
+            near = F.round(tx.cosine(F.col("embedding"), F.col("probe")), 9)
+            step = step.join(probes, "start").withColumn("near", near).withColumn("at", F.row_number().over(W.partitionBy("start", "a").orderBy(F.desc("near"), "b"))).where(F.col("at") <= hop_nearest)
+        front = step.groupBy("start", F.col("b").alias("node")).agg(F.lit(k).alias("depth"), F.max(F.col("score") + F.col("w")).alias("score"))
+        if 2 <= k < depth:
+            front = kept_table(front, "front")
         seen = seen.unionByName(front)
     w = W.partitionBy("start").orderBy("depth", F.desc("score"), "node")
     return seen.where("depth > 0").withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).withColumn("score", F.round("score", 6))
+

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import deep as dp
 from ..operators import evidence as ev
 from ..operators import index as ix
 from ..operators import lexicon
@@ -203,6 +204,12 @@ def deep_answer(spark, d):
     return ev.deep_answer(items(spark, d), s, ix.stored(s))
 
 
+def deep_search(spark, d):
+    """Each passage as a deep question over all documents: how far its search went and what stopped it."""
+    s = sources(spark, d)
+    return dp.deep_search(items(spark, d), s, ix.stored(s))
+
+
 #: SQL has the texts of up to 100,000 characters; longer ones are sampled by hashes, which a test of its own covers.
 _FAST = f"""{BM25}, e AS (SELECT r.item_id, r.rnk, r.doc_id, tokens, text, length(text) AS n, {_DENSEST} AS start FROM ranked r JOIN items USING (item_id) JOIN documents USING (doc_id) WHERE rnk <= 5 AND length(text) <= 100000),
     f AS (SELECT *, least(n, start + 15000) AS fin, substr(text, (start + 1)::BIGINT, 15000) AS content FROM e),
@@ -239,6 +246,7 @@ QUERIES = {
         used AS (SELECT DISTINCT item_id + k AS item_id, doc_id FROM gold, (SELECT unnest([1, 2, 3]) AS k)), again AS (SELECT o.item_id, first, round({sql_keyword_score('tokens', 'text')}, 6) AS score FROM one o JOIN used USING (item_id) JOIN documents USING (doc_id) WHERE first < 7)
         SELECT item_id, max(score) AS best, max(first) AS first, max(score) >= 4 AS accepted FROM again GROUP BY 1"""),
     "fast_answer": (fast_answer, f"""WITH {_FAST} SELECT item_id, rnk::INT AS rnk, doc_id, start::INT AS start, fin::INT AS "end", score, round({sql_coverage('tokens', 'content')}, 6) AS coverage, round(least(1.0, greatest(0.0, 0.5 * score / 10 + 0.5 * ({sql_coverage('tokens', 'content')}))), 3) AS confidence FROM h WHERE coalesce(before, 0) < 15000"""),
+    "deep_search": (deep_search, None),
     "deep_answer": (deep_answer, f"""WITH {BM25}, s AS (SELECT r.item_id, r.rnk, round({sql_keyword_score('tokens', 'text')}, 6) AS score, round({sql_coverage('tokens', 'text')}, 6) AS coverage FROM ranked r JOIN items USING (item_id) JOIN documents USING (doc_id) WHERE rnk <= 4),
         p AS (SELECT *, coalesce(max(CASE WHEN score >= 8 AND coverage >= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM s),
         o AS (SELECT item_id, count(*) AS files, max(score) AS best, max(coverage) AS coverage, round(avg(score), 6) AS mean FROM p WHERE done = 0 GROUP BY 1), c AS (SELECT *, round(least(1.0, greatest(0.0, 0.5 * mean / 10 + 0.5 * coverage)), 3) AS conf FROM o)

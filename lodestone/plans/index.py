@@ -49,7 +49,7 @@ def narrow_semi(spark, d):
 
 
 def bm25_top_score(spark, d):
-    return _index(spark, d).scores(items(spark, d)).groupBy("item_id").agg(F.max("score").alias("top"))
+    return _index(spark, d).rank(items(spark, d), 1).select("item_id", F.col("score").alias("top"))
 
 
 def vocab_gap(spark, d):
@@ -58,13 +58,13 @@ def vocab_gap(spark, d):
 
 def rewrite_gate(spark, d):
     i, q = _index(spark, d), _odd_items(spark, d)
-    return ix.gate(q, i.scores(q), i.gaps(q))
+    return ix.gate(q, i.rank(q, 1), i.gaps(q))
 
 
 def gap_repair(spark, d):
     """Queries that the gate fires on, ranked again without the terms that no document has."""
     i, q = _index(spark, d), _odd_items(spark, d)
-    fired = ix.gate(q, i.scores(q), i.gaps(q)).where("rewrite").select("item_id")
+    fired = ix.gate(q, i.rank(q, 1), i.gaps(q)).where("rewrite").select("item_id")
     return i.rank(q.join(fired, "item_id", "left_semi"), 5).select("item_id", "doc_id", "rnk")
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import folding as fo
 from ..operators import index as ix
 from ..operators import knowledge as kn
 from ..operators import lexicon
-from .common import BM25, ITEMS, items, read, sources, sql_coverage, sql_fields
+from ..operators import saving as sv
+from .common import BM25, ITEMS, items, read, sources, sql_coverage, sql_fields, sql_unigrams
 
 
 def level_keys(spark, d):
@@ -123,6 +125,37 @@ def fold_into(spark, d):
     return f.select("id", F.round("conf", 6).alias("conf"), "hotness", F.size("queries").alias("n_queries"))
 
 
+def save_answers(spark, d):
+    """Each passage asked of every document that holds it, saved in the order of the documents: what became of each answer.
+
+    Answers from toxic documents are refused; windows from every seventh document were cut from an older text, so that
+    the next answer replaces what they left.
+    """
+    g = lexicon.gold_pairs(items(spark, d), sources(spark, d)).select("item_id", "doc_id", "query", "body")
+    toxic = read(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit(True).alias("refused")).distinct()
+    at = (F.instr(F.col("body"), F.col("query")) - 1).cast("int")
+    a = g.join(toxic, "doc_id", "left").select(
+        F.concat_ws(":", "item_id", "doc_id").alias("answer_id"), F.col("doc_id").alias("at"), "query", F.concat(F.lit("see [1]: "), F.substring("query", 1, 40)).alias("summary"), F.col("doc_id").cast("string").alias("source"),
+        F.round(F.length("query") / F.length("body"), 6).alias("confidence"), "refused", F.lit(False).alias("replace"), sv.windows_of(F.col("doc_id"), at, F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("~"), F.substring("query", 2, 1 << 20))).otherwise(F.col("query"))).alias("evidence"),
+    )
+    docs = sources(spark, d).select(F.col("doc_id").cast("string").alias("source"), "body")
+    r = sv.saved(sv.admitted(a, docs)).where("kind = 'answer'")
+    part = lambda k: F.split("answer_id", ":")[k].cast("long")
+    return r.select(part(0).alias("item_id"), part(1).alias("doc_id"), "route", "version", F.round("confidence", 6).alias("confidence"), "n_evidence")
+
+
+#: The answers of a topic one after the other: a cluster that holds an old window is replaced by the next answer.
+_SAVE = f"""WITH RECURSIVE {ITEMS}, t AS (SELECT item_id, {sql_unigrams('query')} AS topic, query, tokens FROM items),
+    g AS (SELECT t.*, doc_id, round(length(query)::DOUBLE / length(text), 6) AS conf, doc_id % 7 = 0 AS old, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) OR len(tokens) = 0 OR len(list_filter(tokens, lambda x: contains(lower(query), x))) < 0.15 * len(tokens) AS refused FROM t JOIN documents ON contains(text, query)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY doc_id, item_id || ':' || doc_id) AS k FROM g),
+    s AS (SELECT topic, 0::BIGINT AS k, NULL::BIGINT AS item_id, NULL::BIGINT AS doc_id, '' AS route, 0 AS version, 0.0::DOUBLE AS conf, 0 AS n_evidence, false AS old FROM n GROUP BY 1
+        UNION ALL SELECT n.topic, n.k, n.item_id, n.doc_id, CASE WHEN n.refused THEN 'refuse' WHEN s.version = 0 THEN 'new' WHEN s.old THEN 'replace' ELSE 'merge' END,
+            s.version + CASE WHEN n.refused THEN 0 ELSE 1 END, CASE WHEN n.refused THEN s.conf WHEN s.version = 0 OR s.old THEN n.conf ELSE (s.conf + n.conf) / 2 END,
+            CASE WHEN n.refused THEN s.n_evidence WHEN s.version = 0 OR s.old THEN 1 ELSE s.n_evidence + 1 END, CASE WHEN n.refused THEN s.old ELSE n.old END
+        FROM s JOIN n ON n.topic = s.topic AND n.k = s.k + 1)
+    SELECT item_id, doc_id, route, version, round(conf, 6) AS confidence, n_evidence FROM s WHERE k > 0"""
+
+
 def persist_routing(spark, d):
     """What saving an answer would do: refuse, merge, evolve or begin a cluster, by confidence, staleness and nearness."""
     l = read(spark, d, "labels").join(sources(spark, d).select("doc_id", "n_chars"), "doc_id")
@@ -131,13 +164,51 @@ def persist_routing(spark, d):
     return l.select("doc_id", route.alias("route"))
 
 
+def conversation_clusters(spark, d):
+    """Conversations as clusters: the last five user turns are the queries, what the assistant said is the content."""
+    c = read(spark, d, "conversations").where("conv_id is not null")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    said = lambda role: F.transform(F.filter("turns", lambda t: t["role"] == role), lambda t: F.coalesce(t["text"], F.lit("")))
+    c = c.groupBy(F.col("conv_id").alias("id")).agg(turns.alias("turns")).select("id", said("user").alias("q"), F.array_join(said("assistant"), "\n").alias("content")).where("size(q) > 0")
+    name, none = F.col("q")[0], F.array().cast("array<string>")
+    return c.select(
+        "id", F.col("id").alias("created"), tx.topic_key(name).alias("topic"), none.alias("aliases"), name.alias("name"), "content", F.slice("q", F.greatest(F.lit(1), F.size("q") - 4), F.lit(5)).alias("queries"),
+        kn.level_keys(name, name, F.lit(""), F.col("content")).alias("level_keys"), F.array().cast("array<struct<source: string, start: int, end: int, content: string>>").alias("evidence"),
+        F.lit(0.5).alias("confidence"), F.lit(0.5).alias("hotness"), F.lit("emerging").alias("lifecycle"), none.alias("flags"), F.lit(1).alias("version"),
+    )
+
+
 def accept_fold(spark, d):
-    """Pairs of close clusters of different topics: vetoed if their numbers differ."""
-    p = cross_topic_near(spark, d)
-    s = sources(spark, d).select("doc_id", tx.numeric_claim(F.col("body"), F.lit("")).alias("claim"))
-    r = p.join(s.select(F.col("doc_id").alias("a"), F.col("claim").alias("x")), "a", "left").join(s.select(F.col("doc_id").alias("b"), F.col("claim").alias("y")), "b", "left")
-    veto = (F.coalesce("x", F.lit("")) != "") & (F.coalesce("y", F.lit("")) != "") & (F.col("x") != F.col("y"))
-    return r.select("a", "b", (~veto).alias("accepted"))
+    """May each conversation's cluster be folded into the one before it, and if not, why."""
+    c = conversation_clusters(spark, d)
+    pairs = c.select(F.col("id").alias("loser"), (F.col("id") - 1).alias("winner")).join(c.select(F.col("id").alias("winner")), "winner", "left_semi")
+    return fo.accepted(pairs, c, 3)
+
+
+_ACCEPT = f"""WITH u AS (SELECT conv_id AS id, list(coalesce(text, '') ORDER BY turn) FILTER (role = 'user') AS q, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS content FROM conversations GROUP BY 1),
+    k AS (SELECT id, content, q[1] AS name, q[greatest(1, len(q) - 4):] AS queries, substr(sha256(array_to_string({sql_unigrams('q[1]')}, '|')), 1, 16) AS topic,
+        [substr(trim(q[1], ' '), 1, 80), substr(trim(regexp_extract(content, '[^\n]*\S[^\n]*'), ' '), 1, 80)] AS levels FROM u WHERE q IS NOT NULL),
+    c AS (SELECT id, topic, regexp_extract(content, '[0-9]+') AS claim, list_filter(queries || levels, lambda x: x <> '') AS keys, lower(concat_ws(' ', content, name, array_to_string(queries, ' '), topic, '', array_to_string(levels, ' '))) AS body FROM k),
+    p AS (SELECT w.id AS winner, l.id AS loser, w.topic <> l.topic AND w.claim <> '' AND l.claim <> '' AND w.claim <> l.claim AS differ, list_distinct(l.keys) AS keys FROM c w JOIN c l ON l.id = w.id + 1),
+    a AS (SELECT winner, loser, key, {sql_fields('key')} AS t FROM (SELECT winner, loser, unnest(keys) AS key FROM p WHERE NOT differ)),
+    r AS (SELECT winner, loser, key, c.id, len(list_filter(t, lambda x: contains(body, x))) AS h, list_max(list_transform(c.keys || [topic], lambda o: len(list_filter(t, lambda x: contains(lower(o), x))))) AS m FROM a JOIN c ON c.id <> a.loser),
+    f AS (SELECT r.winner, r.loser, r.key, count(*) FILTER (r.id <> r.winner AND (r.h > w.h OR r.h = w.h AND r.id < r.winner)) >= 3 AS vague, bool_or(r.id <> r.winner AND r.m > w.m) AS nearer
+        FROM r JOIN r w ON w.winner = r.winner AND w.loser = r.loser AND w.key = r.key AND w.id = w.winner GROUP BY 1, 2, 3),
+    o AS (SELECT p.winner, p.loser, p.differ, min(list_position(l.keys, f.key) * 2 + CASE WHEN vague THEN 0 ELSE 1 END) FILTER (vague OR nearer) AS fault FROM p JOIN c l ON l.id = p.loser LEFT JOIN f ON f.winner = p.winner AND f.loser = p.loser GROUP BY 1, 2, 3)
+    SELECT winner, loser, NOT differ AND fault IS NULL AS accepted, CASE WHEN differ THEN 'claims' WHEN fault IS NULL THEN '' WHEN fault % 2 = 0 THEN 'specificity' ELSE 'separation' END AS reason FROM o"""
+
+
+def tidy_fixpoint(spark, d):
+    """The vectors as clusters, older by number, folded until no two are close; parts of one order are retrieved together.
+
+    These vectors are nearly orthogonal, so the line is 0.4 instead of the usual 0.55; they have no texts to check.
+    """
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    c = conversation_clusters(spark, d).limit(0)
+    c = v.select("id", "vector", F.col("id").alias("created"), F.array(F.col("id").cast("string")).alias("queries"), F.lit("").alias("content"), F.lit("").alias("topic"), F.lit("").alias("name"), F.lit("emerging").alias("lifecycle"), F.lit(0.5).alias("confidence"), F.lit(0.5).alias("hotness"), F.lit(1).alias("version"), *[F.array().cast(c.schema[x].dataType).alias(x) for x in ("aliases", "level_keys", "evidence", "flags")])
+    known = v.select(F.col("id").cast("string").alias("text"), "vector")
+    _, decided = fo.tidy(c, lambda texts: texts.join(known, "text"), 0.4, together=cooccur_edges(spark, d), check=False)
+    return decided.select("winner", "loser", F.round("sim", 6).alias("sim"), "round")
 
 
 def _claims(spark, d):
@@ -191,11 +262,41 @@ def barrier_edges(spark, d):
 
 def graph_expand_2hop(spark, d):
     """From each event type's node 0, two hops over the query sequence."""
-    e = query_seq_edges(spark, d).select("a", "b", "weight", F.when(F.col("kind") == "pathway", 1.5).otherwise(1.0).alias("boost"))
+    e = query_seq_edges(spark, d)
     starts = e.where(F.col("a").endswith(":0")).select(F.col("a").alias("start")).distinct()
     return kn.expand(starts, e, 2, 0.5, 16)
 
 
+def graph_expand_nearest(spark, d):
+    """From the vectors divisible by 20, three hops either way over orders' next parts, to the six neighbours of each hop nearest to the start's vector.
+
+    Nodes are vectors; a part's size is its hotness, its price its confidence. Parts of very different price that stand
+    together are barriers, and a part without a vector is no cluster.
+    """
+    part = read(spark, d, "part")
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("node"))
+    e = kn.sequence_edges(li, "l_orderkey", ["l_linenumber", "node"], "node")
+    price = lambda c: part.select(F.col("p_partkey").alias(c), F.col("p_retailprice").alias(f"price_{c}"))
+    e = e.join(price("a"), "a").join(price("b"), "b").withColumn("kind", F.when(F.abs(F.col("price_a") - F.col("price_b")) > 150, "barrier").otherwise(F.col("kind")))
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("node"), "embedding", "label")
+    nodes = part.select(F.col("p_partkey").alias("node"), (F.col("p_size") / 50).alias("hotness"), (F.col("p_retailprice") / 1100).alias("confidence")).join(v, "node")
+    nodes = kn.fit_nodes(nodes.withColumn("lifecycle", F.when(F.col("label") == 9, "deprecated").otherwise("stable")), hotness=0.1, confidence=0.82)
+    starts = v.where("node % 20 = 0").select(F.col("node").alias("start"), F.col("embedding").alias("probe"))
+    return kn.expand(starts, e, 3, 0.5, 40, direction="any", nodes=nodes, hop_nearest=6)
+
+
+def _hops_sql(depth: int, nearest: int) -> str:
+    """The hops of graph_expand_nearest one after the other: what is seen before a hop stays out of it."""
+    out = "h0 AS (SELECT vec_id AS start, vec_id AS node, 0 AS depth, 0.0::DOUBLE AS score FROM embeddings WHERE vec_id % 20 = 0)"
+    for k in range(1, depth + 1):
+        before = " UNION ALL ".join(f"SELECT start, node FROM h{i}" for i in range(k))
+        out += f""", s{k} AS (SELECT h.start, e.a, e.b, h.score + e.w AS score, row_number() OVER (PARTITION BY h.start, e.a ORDER BY round(list_dot_product(n.embedding::DOUBLE[], p.embedding::DOUBLE[]) / sqrt(list_dot_product(n.embedding::DOUBLE[], n.embedding::DOUBLE[])) / sqrt(list_dot_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[])), 9) DESC, e.b) AS place
+            FROM h{k - 1} h JOIN ways e ON e.a = h.node JOIN nodes n ON n.node = e.b JOIN embeddings p ON p.vec_id = h.start
+            WHERE NOT EXISTS (SELECT 1 FROM ({before}) x WHERE x.start = h.start AND x.node = e.b) AND NOT EXISTS (SELECT 1 FROM bars r WHERE r.a = h.start AND r.b = e.b)),
+            h{k} AS (SELECT start, b AS node, {k} AS depth, max(score) AS score FROM s{k} WHERE place <= {nearest} GROUP BY 1, 2)"""
+    return out
+
+
 def hop_freshness(spark, d):
     """Parts' partners whose last shipment lies within 60 days of the newest; unknown ones stay."""
     li = read(spark, d, "lineitem").select("l_partkey", F.col("l_shipdate").cast("date").alias("at"))
@@ -231,8 +332,10 @@ QUERIES = {
     "tidy_pairs": (tidy_pairs, f"WITH {_PAIRS} SELECT a, b, cosine, row_number() OVER (ORDER BY cosine DESC, a, b)::INT AS place FROM p WHERE la = lb ORDER BY place LIMIT 100"),
     "tidy_run": (tidy_run, None),
     "fold_into": (fold_into, f"WITH {_EVOLVE}, e AS (SELECT topic AS id, version::DOUBLE / 40 AS conf, hotness, least(version, 5) AS n FROM c), p AS (SELECT a.id AS winner, b.id AS loser FROM e a JOIN e b ON a.id % 10 = 1 AND b.id = a.id + 1) SELECT id, round(conf, 6) AS conf, hotness, n::INT AS n_queries FROM e WHERE id NOT IN (SELECT winner FROM p) AND id NOT IN (SELECT loser FROM p) UNION ALL SELECT a.id, round((a.conf + b.conf) / 2, 6), greatest(a.hotness, b.hotness), least(a.n + b.n, 5)::INT FROM p JOIN e a ON a.id = winner JOIN e b ON b.id = loser"),
+    "save_answers": (save_answers, _SAVE),
     "persist_routing": (persist_routing, "SELECT doc_id, CASE WHEN quality = 0 AND toxic = 1 THEN 'refuse' WHEN n_chars % 100 >= 85 THEN 'evolve' WHEN n_chars % 100 >= 55 THEN CASE WHEN toxic = 1 THEN 'new' ELSE 'merge' END ELSE 'new' END AS route FROM labels JOIN documents USING (doc_id)"),
-    "accept_fold": (accept_fold, f"WITH {_PAIRS}, s AS (SELECT doc_id, regexp_extract(text, '[0-9]+') AS claim FROM documents) SELECT a, b, NOT (coalesce(x.claim, '') <> '' AND coalesce(y.claim, '') <> '' AND x.claim <> y.claim) AS accepted FROM p LEFT JOIN s x ON x.doc_id = a LEFT JOIN s y ON y.doc_id = b WHERE la <> lb"),
+    "accept_fold": (accept_fold, _ACCEPT),
+    "tidy_fixpoint": (tidy_fixpoint, None),
     "detect_conflicts": (detect_conflicts, f"WITH {_CONF} SELECT grp, a, b FROM cf"),
     "conflicts_for": (conflicts_for, f"WITH {_CONF} SELECT cluster, count(*) AS n FROM (SELECT a AS cluster FROM cf UNION ALL SELECT b FROM cf) GROUP BY 1"),
     "cooccur_edges": (cooccur_edges, f"WITH {_CO} SELECT * FROM co"),
@@ -243,6 +346,13 @@ QUERIES = {
     "graph_expand_2hop": (graph_expand_2hop, f"""WITH {_SEQ}, e AS (SELECT a, b, weight * CASE WHEN kind = 'pathway' THEN 1.5 ELSE 1.0 END AS w FROM sq), s AS (SELECT DISTINCT a AS start FROM e WHERE a LIKE '%:0'),
         d1 AS (SELECT start, b AS node, 1 AS depth, max(w) AS score FROM s JOIN e ON a = start WHERE b <> start GROUP BY 1, 2), d2 AS (SELECT d1.start, e.b AS node, 2 AS depth, max(score + w) AS score FROM d1 JOIN e ON e.a = d1.node WHERE e.b <> d1.start AND NOT EXISTS (SELECT 1 FROM d1 x WHERE x.start = d1.start AND x.node = e.b) GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, score DESC, node) AS place FROM (SELECT * FROM d1 UNION ALL SELECT * FROM d2)) SELECT start, node, depth, round(score, 6)::DOUBLE AS score, place::INT AS place FROM r WHERE place <= 16"""),
+    "graph_expand_nearest": (graph_expand_nearest, f"""WITH n AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem),
+        g AS (SELECT n.a, n.b, CASE WHEN abs(x.p_retailprice - y.p_retailprice) > 150 THEN 'barrier' WHEN count(*) >= 2 THEN 'pathway' ELSE 'plain' END AS kind FROM n JOIN part x ON x.p_partkey = n.a JOIN part y ON y.p_partkey = n.b WHERE n.a <> n.b GROUP BY n.a, n.b, x.p_retailprice, y.p_retailprice),
+        both_ways AS (SELECT a, b, kind FROM g UNION ALL SELECT b, a, kind FROM g), bars AS (SELECT DISTINCT a, b FROM both_ways WHERE kind = 'barrier'),
+        ways AS (SELECT a, b, max(0.6::DOUBLE * CASE WHEN kind = 'pathway' THEN 1.5 ELSE 1.0 END) AS w FROM both_ways WHERE kind <> 'barrier' GROUP BY 1, 2),
+        nodes AS (SELECT vec_id AS node, embedding FROM embeddings JOIN part ON p_partkey = vec_id WHERE label <> 9 AND p_size / 50.0 >= 0.1 AND p_retailprice / 1100 >= 0.82), {_hops_sql(3, 6)},
+        r AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, score DESC, node) AS place FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3))
+        SELECT start, node, depth, round(score, 6)::DOUBLE AS score, place::INT AS place FROM r WHERE place <= 40"""),
     "hop_freshness": (hop_freshness, "WITH l AS (SELECT l_partkey, max(l_shipdate)::DATE AS last FROM lineitem GROUP BY 1) SELECT p_partkey AS l_partkey, last FROM part LEFT JOIN l ON l_partkey = p_partkey WHERE last IS NULL OR (SELECT max(l_shipdate)::DATE FROM lineitem) - last <= 60"),
     "cite_edges": (cite_edges, f"WITH {BM25}, r AS (SELECT item_id AS cluster, doc_id AS source, score FROM ranked WHERE rnk <= 5), b AS (SELECT * FROM r UNION ALL SELECT cluster, source, score - 1 FROM r) SELECT cluster, source, max(score) AS score, count(*) AS recorded FROM b GROUP BY 1, 2"),
     "shared_source_edges": (shared_source_edges, "WITH li AS (SELECT DISTINCT l_suppkey AS g, l_partkey AS m FROM lineitem) SELECT x.m AS a, y.m AS b, count(*) AS hits FROM li x JOIN li y ON x.g = y.g AND x.m < y.m GROUP BY 1, 2"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(master: str | None = None, shuffle_partitions: int | None = None, **options: str) -> SparkSession:
@@ -26,3 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file:///tmp/lodestone-shared"
     return root.rstrip("/")
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the shared folder: its lineage ends there, and lost executors bring none of it back."""
+    path = f"{shared_folder(df.sparkSession)}/lodestone/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

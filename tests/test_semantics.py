@@ -124,11 +124,58 @@ def test_exact_rank(spark):
 
 
 def test_graph_barriers_and_cycles(spark):
-    e = spark.createDataFrame([("s", "a", 0.6, 1.5), ("a", "s", 0.6, 1.0), ("a", "b", 0.6, 1.0), ("s", "x", 0.6, 1.0), ("a", "low", 0.4, 1.0)], "a string, b string, weight double, boost double")
+    e = spark.createDataFrame([("s", "a", 0.6, "pathway"), ("a", "s", 0.6, "plain"), ("a", "b", 0.6, "plain"), ("s", "x", 0.6, "plain"), ("a", "low", 0.4, "plain")], "a string, b string, weight double, kind string")
     got = knowledge.expand(spark.createDataFrame([("s",)], "start string"), e, barriers=spark.createDataFrame([("s", "x")], "start string, node string")).collect()
     assert {(r["node"], r["depth"], r["score"]) for r in got} == {("a", 1, 0.9), ("b", 2, 1.5)}
 
 
+def walked(edges, start, depth, least, direction, nodes=None, nearest=None, probe=None):
+    """The expansion as a plain loop: (node, depth, score)."""
+    import numpy as np
+
+    turn = [(a, b, w, k) for a, b, w, k in edges if direction != "in"] + [(b, a, w, k) for a, b, w, k in edges if direction != "out"]
+    bars = {b for a, b, _, k in edges if k == "barrier" and a == start} | ({a for a, b, _, k in edges if k == "barrier" and b == start} if direction != "out" else set())
+    seen, front, out = {start}, {start: 0.0}, []
+    for d in range(1, depth + 1):
+        new = {}
+        for n, score in front.items():
+            best = {}
+            for a, b, w, k in turn:
+                if a == n and w >= least and k != "barrier" and b not in seen | bars and (nodes is None or b in nodes):
+                    best[b] = max(best.get(b, 0), score + w * (1.5 if k == "pathway" else 1.0))
+            if nearest is not None:
+                cos = lambda b: round(float(np.dot(nodes[b], probe) / np.linalg.norm(nodes[b]) / np.linalg.norm(probe)), 9)
+                best = {b: best[b] for b in sorted(best, key=lambda b: (-cos(b), b))[:nearest]}
+            for b, x in best.items():
+                new[b] = max(new.get(b, 0), x)
+        seen |= set(new)
+        front = new
+        out += [(b, d, round(x, 6)) for b, x in new.items()]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("direction", ["out", "in", "any"])
+def test_graph_expansion_against_a_loop(spark, direction):
+    """Random graphs with cycles, parallel edges and barriers; hops cut below and above the fan-out; four hops."""
+    import random
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(14), rng.randrange(14), rng.choice([0.4, 0.6, 0.7, 0.9]), rng.choice(["plain", "plain", "plain", "pathway", "barrier"])) for _ in range(60)]
+    nodes = {n: [rng.random() - 0.5 for _ in range(3)] for n in range(12)}  # 12 and 13 are no clusters
+    e = spark.createDataFrame(edges + [(None, 1, 0.9, "plain"), (1, None, 0.9, "plain")], "a int, b int, weight double, kind string")
+    v = spark.createDataFrame(list(nodes.items()), "node int, embedding array<double>")
+    starts = spark.createDataFrame([(n, nodes[n]) for n in (0, 3, 7)], "start int, probe array<double>")
+    for nearest in (None, 1, 2, 50):
+        got = knowledge.expand(starts, e, 4, 0.5, 100, direction, v, nearest).collect()
+        for s in (0, 3, 7):
+            assert sorted((r["node"], r["depth"], r["score"]) for r in got if r["start"] == s) == walked(edges, s, 4, 0.5, direction, nodes, nearest, nodes[s]), (s, nearest)
+
+
+def test_fit_nodes(spark):
+    n = spark.createDataFrame([(1, 0.5, 0.5, "stable"), (2, 0.1, 0.9, "stable"), (3, 0.9, 0.1, "emerging"), (4, 1.0, 1.0, "deprecated"), (5, 0.5, 0.5, "contested")], "node int, hotness double, confidence double, lifecycle string")
+    assert sorted(r["node"] for r in knowledge.fit_nodes(n, 0.2, 0.2).collect()) == [1, 5]
+
+
 def test_greedy_merges():
     assert knowledge.greedy_merges([(0.9, 1, 2), (0.8, 2, 3), (0.7, 3, 4)]) == [(1, 2), (3, 4)]
     assert lexicon.keep_dissimilar(["a b c", "a b d", "x y"], ["a b"]) == ["x y"]
