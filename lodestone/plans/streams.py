@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..streaming import telemetry as tm
 from ..streaming import windows as wn
 from .common import read
 
@@ -46,7 +47,23 @@ def reconcile(spark, d):
     return n.join(review.withColumn("emerging", F.lit(True)), "cluster", "left").select("cluster", "invalid", "n", F.coalesce("emerging", F.lit(False)).alias("emerging"))
 
 
+def telemetry_windows(spark, d):
+    """Events as calls: type as mode, the number in props as model and tokens, users in ten namespaces; by day."""
+    e = read(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    calls = e.select("ts", F.col("event_type").alias("mode"), F.concat(F.lit("m"), k % 3).alias("model"), (F.col("user_id") % 10).alias("namespace"), (F.col("value") > 50).alias("reused"), (F.col("event_type") == "error").alias("failed"), F.floor(F.col("value") * 1000).alias("latency"), k.alias("tokens"))
+    s = tm.snapshot(tm.counts(calls, "1 day"))
+    return s.withColumn("start_us", F.unix_micros(F.col("start").cast("timestamp"))).drop("start")
+
+
+_TELEMETRY = """WITH c AS (SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type AS mode, 'm' || (json_extract_string(props, '$.k')::BIGINT % 3) AS model, (user_id % 10)::VARCHAR AS ns, coalesce(value > 50, false) AS warm, event_type = 'error' AS bad, floor(value * 1000)::BIGINT AS lat, json_extract_string(props, '$.k')::BIGINT AS tokens FROM events),
+    x AS (SELECT c.*, unnest([{'scope': 'all', 'name': ''}, {'scope': 'mode', 'name': coalesce(mode, '')}, {'scope': 'model', 'name': coalesce(model, '')}, {'scope': 'namespace', 'name': coalesce(ns, '')}]) AS s FROM c),
+    g AS (SELECT start_us, s.scope AS scope, s.name AS name, count(*) AS queries, count(*) FILTER (warm) AS reused, count(*) FILTER (bad) AS failed, sum(coalesce(tokens, 0))::BIGINT AS tokens,
+        list_sort(list(lat) FILTER (warm AND lat IS NOT NULL)) AS w, list_sort(list(lat) FILTER (NOT warm AND NOT bad AND lat IS NOT NULL)) AS c, list_sort(list(lat) FILTER (NOT bad AND lat IS NOT NULL)) AS a FROM x GROUP BY 1, 2, 3)
+    SELECT start_us, scope, name, queries, reused, failed, tokens, round(reused::DOUBLE / queries, 6) AS reuse_rate, w[len(w) // 2 + 1] AS warm_p50, c[len(c) // 2 + 1] AS cold_p50, a[len(a) // 2 + 1] AS p50, a[len(a) * 9 // 10 + 1] AS p90 FROM g"""
+
 QUERIES = {
+    "telemetry_windows": (telemetry_windows, _TELEMETRY),
     "events_tumbling": (events_tumbling, "SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
     "events_sliding": (events_sliding, "SELECT s AS start_us, count(*) AS n FROM (SELECT unnest([epoch_us(date_trunc('hour', ts)), epoch_us(date_trunc('hour', ts)) - 3600000000]) AS s FROM events) GROUP BY 1"),
     "events_session": (events_session, "WITH g AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 1800000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(t) AS start_us, max(t) + 1800000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, k"),
