@@ -7,14 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def at_rank(values: Column, numerator: int, denominator: int) -> Column:
-    """The value at index n * numerator / denominator of the sorted values, 0-based: no interpolation."""
-    v = F.sort_array(F.collect_list(values))
-    return F.get(v, F.floor(F.size(v) * numerator / denominator).cast("int"))
-
-
 def exact_rank(rows: DataFrame, keys: list[str], value: str, numerator: int, denominator: int, name: str) -> DataFrame:
-    """at_rank without gathering values: counts of distinct values, then a running sum over them."""
+    """(keys, name): the value at index n * numerator / denominator of the sorted values, 0-based, from counts of distinct values and a running sum over them."""
     c = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     w = W.partitionBy(*keys)
     c = c.withColumns({"_to": F.sum("_c").over(w.orderBy(value)), "_n": F.sum("_c").over(w)})
@@ -100,11 +94,16 @@ def record(ledger: DataFrame, uses: DataFrame, top: int = 60) -> DataFrame:
 
 
 def ledger_weights(queries: DataFrame, ledger: DataFrame, now: Column, half_days: float = 21.0, most: int = 24) -> DataFrame:
-    """(item_id, doc_id, weight): a query's first 24 distinct tokens' documents, decayed by age, relative to the token's best."""
+    """(item_id, doc_id, weight): a query's first 24 distinct tokens' documents, decayed by age, relative to the token's best.
+
+    Only the queries' tokens are taken from the ledger; a token's best is a sum-like maximum, so the commonest one isn't one task's.
+    """
     q = queries.select("item_id", F.explode(F.slice(F.array_distinct("tokens"), 1, most)).alias("token"))
+    ledger = ledger.join(q.select("token").distinct(), "token", "left_semi")
     age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))) / 86_400_000_000
     d = ledger.withColumn("w", F.col("score") * F.pow(F.lit(2.0), -age / half_days))
-    d = d.withColumn("w", F.col("w") / F.max("w").over(W.partitionBy("token"))).where(F.col("w").isNotNull())
+    best = d.groupBy("token").agg(F.max("w").alias("best"))
+    d = d.join(best, "token").withColumn("w", F.col("w") / F.col("best")).where(F.col("w").isNotNull())
     return q.join(d.select("token", "doc_id", "w"), "token").groupBy("item_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("weight"))
 
 

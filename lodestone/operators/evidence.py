@@ -234,6 +234,38 @@ def expand(windows: DataFrame, length: str, by: int = 24) -> DataFrame:
     return windows.withColumns({"start": F.greatest(F.lit(0), F.col("start") - by), "end": F.least(F.col(length), F.col("end") + by)})
 
 
+def around(tokens: Column, text: Column, n: int = 240) -> Column:
+    """The n characters of a text that hold most of the tokens, repeats counted, by quarters of n (ties: the earliest), with marks where it is cut."""
+    found = lambda s: F.size(F.filter(tokens, lambda t: F.contains(F.substring(text, s + 1, F.lit(n)), t)))
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - n, F.lit(0)), F.lit(n // 4))
+    best = lambda: F.array_max(F.transform(starts, lambda s: F.struct(found(s).alias("hits"), (-s).alias("at"))))["at"]
+    cut = let(F.when(F.size(tokens) == 0, 0).otherwise(-best()), lambda s: F.concat(F.when(s > 0, "…").otherwise(""), F.substring(text, s + 1, F.lit(n)), F.when(s + n < F.length(text), "…").otherwise("")))
+    return F.when(F.length(text) <= n, text).otherwise(cut)
+
+
+def span_label(spans: Column, start: Column, end: Column) -> Column:
+    """The label of the first span (label, start, end) that holds a window whole; [?] if none of them does, body without spans."""
+    held = F.filter(spans, lambda s: (s["start"] <= start) & (end <= s["end"]))
+    return F.when(F.size(spans) == 0, "body").otherwise(F.coalesce(F.get(held, 0)["label"], F.lit("[?]")))
+
+
+def spans_of(spans: DataFrame, id_col: str) -> DataFrame:
+    """(id, spans): structure_spans() gathered by document, in order."""
+    return spans.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("spans"))
+
+
+def summaries(windows: DataFrame) -> DataFrame:
+    """(item_id, summary): the deterministic answer of a query (query, tokens) from the windows of its source (title, spans), in order of place.
+
+    A window (place, method, start, end, content) is a line with its number, the label of its span, how it was found and
+    where it lies. A null title is empty.
+    """
+    line = F.concat(F.lit("("), span_label(F.col("spans"), F.col("start"), F.col("end")), F.lit(" "), F.col("method"), F.lit(" ["), F.col("start"), F.lit(","), F.col("end"), F.lit(")) "), around(F.col("tokens"), F.col("content")), F.lit("\n"))
+    g = windows.select("item_id", "query", F.coalesce("title", F.lit("")).alias("title"), F.struct("place", line.alias("line")).alias("line")).groupBy("item_id", "query", "title").agg(F.array_sort(F.collect_list("line")).alias("lines"))  # within the budget of evidence
+    lines = F.array_join(F.transform("lines", lambda x, i: F.concat(F.lit("["), i + 1, F.lit("] "), x["line"])), "")
+    return g.select("item_id", F.concat(F.lit("【摘要】"), F.col("query"), F.lit("\n【来源】"), F.col("title"), F.lit("\n"), lines).alias("summary"))
+
+
 def top_keeps(windows: DataFrame, keys: list[str], length: str, n: int = 8) -> DataFrame:
     """Scored windows merged, widened, merged again, and the best n of each query (the first key)."""
     once = consolidate(windows.where("score is not null"), [*keys, length])

@@ -19,19 +19,24 @@ def top_line_share(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return t.select(id_col, F.when((F.col("lines") < 32) | (F.col("top") <= 1), 0.0).otherwise(F.round(F.col("top") / F.col("lines"), 6)).alias("top_line_share"))
 
 
+#: A line that begins a span: a heading or a page mark.
+_HEADING, _PAGE = r"^#{1,6}[^\S\n]+\S", r"^--- page \d+ ---[^\S\n]*$"
+
+
 def structure_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, kind, label, start, end): headings and page marks cut the body into spans that tile it; one doc span without marks."""
-    lines = F.split(text_col, "\n", -1)
-    starts = F.aggregate(F.transform(lines, F.length), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n + 1)))
-    marks = F.filter(F.transform(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.struct(F.get(lines, i).alias("line"), F.get(starts, i).alias("start"))), lambda x: x["line"].rlike(r"^#{1,6}\s+\S") | x["line"].rlike(r"^--- page \d+ ---\s*$"))
-    cut = F.regexp_count(text_col, F.lit(r"(?m)^(#{1,6}\s+\S|--- page \d+ ---)"))
-    rows = docs.select(id_col, F.length(text_col).alias("n"), F.when(cut > 0, marks).otherwise(F.array().cast("array<struct<line:string,start:int>>")).alias("m"))
-    whole = rows.where("size(m) = 0").select(id_col, F.lit("doc").alias("kind"), F.lit("").alias("label"), F.lit(0).alias("start"), F.col("n").alias("end"))
-    one = rows.where("size(m) > 0").select(id_col, "n", F.posexplode("m").alias("_i", "_x"), "m")
-    page = F.col("_x.line").rlike("^---")
-    span = one.select(id_col, F.when(page, "page").otherwise("heading").alias("kind"), F.when(page, F.regexp_extract("_x.line", r"\d+", 0)).otherwise(F.trim(F.regexp_replace("_x.line", r"^#{1,6}\s+", ""))).alias("label"), F.col("_x.start").alias("start"), F.coalesce(F.get("m", F.col("_i") + 1)["start"], F.col("n")).alias("end"))
-    before = rows.where("size(m) > 0").where(F.get("m", F.lit(0))["start"] > 0).select(id_col, F.lit("preamble").alias("kind"), F.lit("").alias("label"), F.lit(0).alias("start"), F.get("m", F.lit(0))["start"].alias("end"))
-    return whole.unionByName(span).unionByName(before)
+    """(id, kind, label, start, end): headings and page marks cut the body into spans that tile it; one doc span without marks.
+
+    A span's start is the length of what lies before it, a running sum over the document's spans; only their lengths and
+    first lines are shuffled, never the text. A null text is an empty one.
+    """
+    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), f"(?md)(?={_HEADING}|{_PAGE})", -1)
+    rows = docs.select(F.col(id_col), F.posexplode(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), F.regexp_extract(p, r"^[^\n]*", 0).alias("line")))).alias("_i", "_p"), F.size(parts).alias("_parts"))
+    w = W.partitionBy(id_col).orderBy("_i").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum("_p.n").over(w), F.lit(0)).cast("int"))
+    line = F.col("_p.line")
+    kind = F.when(line.rlike(_PAGE), "page").when(line.rlike(_HEADING), "heading").when(F.col("_parts") == 1, "doc").otherwise("preamble")
+    label = F.when(line.rlike(_PAGE), F.regexp_extract(line, r"\d+", 0)).when(line.rlike(_HEADING), F.trim(F.regexp_replace(line, r"^#{1,6}\s+", ""))).otherwise("")
+    return rows.select(id_col, kind.alias("kind"), label.alias("label"), "start", (F.col("start") + F.col("_p.n")).alias("end"))
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, size: int = BLOCK, overlap: int = OVERLAP) -> DataFrame:

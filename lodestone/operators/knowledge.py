@@ -89,6 +89,16 @@ def conflicts(claims: DataFrame, group: str) -> DataFrame:
     return x.join(y, group).where("a < b and p <> q").select(group, "a", "b")
 
 
+def claim_classes(claims: DataFrame, group: str) -> DataFrame:
+    """(group, id, others): one member of each class of equal claims of a group, named by its least id, and with how many other classes it conflicts.
+
+    What conflicts() would list as pairs, counted without making them.
+    """
+    c = claims.where("claim <> ''").groupBy(group, "claim").agg(F.min("id").alias("id"))
+    n = c.groupBy(group).agg(F.count("*").alias("classes"))
+    return c.join(n, group).select(group, "id", (F.col("classes") - 1).alias("others"))
+
+
 def pair_edges(rows: DataFrame, group: str, member: str, first: float = 0.7, step: float = 0.1) -> DataFrame:
     """(a, b, hits, weight) of members that share groups: 0.7 for the first, 0.1 more for each further one, at most 1."""
     r = rows.select(group, F.col(member)).distinct()

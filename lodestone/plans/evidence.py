@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..operators import deep as dp
 from ..operators import evidence as ev
 from ..operators import index as ix
+from ..operators import ingest
 from ..operators import lexicon
 from .common import BM25, ITEMS, SCORES, items, read, sources, sql_coverage, sql_fields, sql_hits, sql_keyword_score
 
@@ -204,6 +205,32 @@ def deep_answer(spark, d):
     return ev.deep_answer(items(spark, d), s, ix.stored(s))
 
 
+def _headed(spark, d):
+    """Documents with a heading before them and a page mark behind; their spans."""
+    s = sources(spark, d)
+    m = s.withColumn("body", F.concat(F.lit("intro\n# Part one\n"), F.col("body"), F.lit("\n--- page 2 ---\ntail")))
+    return m, ev.spans_of(ingest.structure_spans(m, "doc_id", "body"), "doc_id")
+
+
+def answer_summary(spark, d):
+    """The deterministic summary of each passage's best document with evidence, by its windows in documents with headings."""
+    m, spans = _headed(spark, d)
+    q = items(spark, d)
+    w = ev.fast_answer(q, m, ix.stored(sources(spark, d)))
+    best = w.groupBy("item_id").agg(F.min("rnk").alias("rnk"))
+    w = w.join(best, ["item_id", "rnk"]).join(q.select("item_id", "query", "tokens"), "item_id").join(m.select("doc_id", "body", F.col("key").alias("title")), "doc_id").join(spans, "doc_id")
+    rows = w.select("item_id", "query", "tokens", "title", "spans", F.col("start").alias("place"), F.when(F.length("body") <= ev.WHOLE, "full").otherwise("sampled").alias("method"), "start", "end", ev.slice_of(F.col("body"), F.col("start"), F.col("end")).alias("content"))
+    return ev.summaries(rows).select("item_id", "summary")
+
+
+def citation_spans(spark, d):
+    """The label of the span in which each gold passage stands in its document with headings; some windows reach over its end."""
+    m, spans = _headed(spark, d)
+    g = lexicon.gold_pairs(items(spark, d), m).select("item_id", "doc_id", (F.instr("body", F.col("query")) - 1).alias("start"), F.length("query").alias("n"), F.length("body").alias("whole"))
+    r = g.join(spans, "doc_id")
+    return r.select("item_id", "doc_id", ev.span_label(F.col("spans"), F.col("start"), F.col("start") + F.col("n")).alias("span"), ev.span_label(F.col("spans"), F.col("start"), F.col("whole")).alias("rest"))
+
+
 def deep_search(spark, d):
     """Each passage as a deep question over all documents: how far its search went and what stopped it."""
     s = sources(spark, d)
@@ -216,6 +243,9 @@ _FAST = f"""{BM25}, e AS (SELECT r.item_id, r.rnk, r.doc_id, tokens, text, lengt
     g AS (SELECT *, round({sql_keyword_score('tokens', 'content')}, 6) AS score FROM f),
     h AS (SELECT *, sum(strlen(content)) OVER (PARTITION BY item_id ORDER BY score DESC, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g WHERE score >= 4)"""
 
+#: The same over the documents with headings; the ranking is that of the plain texts.
+_FAST_HEADED = _FAST.replace("rnk, r.doc_id, tokens, text, length(text) AS n,", "rnk, r.doc_id, tokens, query, x AS text, length(x) AS n,").replace("JOIN documents USING (doc_id) WHERE rnk <= 5", "JOIN (SELECT doc_id, 'intro' || chr(10) || '# Part one' || chr(10) || text || chr(10) || '--- page 2 ---' || chr(10) || 'tail' AS x FROM documents) USING (doc_id) WHERE rnk <= 5").replace("length(text) <= 100000", "length(x) <= 100000")
+
 QUERIES = {
     "sample_full": (sample_full, f'WITH {_GOLD}, f AS (SELECT item_id, doc_id, n, {_DENSEST} AS start FROM gold WHERE n <= 100000) SELECT item_id, doc_id, start::INT AS start, least(n, start + 15000)::INT AS "end" FROM f'),
     "window_at": (window_at, """SELECT doc_id, a::INT AS start, b::INT AS "end", sha256(substr(text, a + 1, b - a)) AS digest FROM (SELECT doc_id, text, greatest(0, greatest(0, least((doc_id * 977) % 40000 - 200, length(text))) - 240) AS a, least(length(text), greatest(0, least((doc_id * 977) % 40000 - 200, length(text))) + 240) AS b FROM documents)"""),
@@ -246,6 +276,11 @@ QUERIES = {
         used AS (SELECT DISTINCT item_id + k AS item_id, doc_id FROM gold, (SELECT unnest([1, 2, 3]) AS k)), again AS (SELECT o.item_id, first, round({sql_keyword_score('tokens', 'text')}, 6) AS score FROM one o JOIN used USING (item_id) JOIN documents USING (doc_id) WHERE first < 7)
         SELECT item_id, max(score) AS best, max(first) AS first, max(score) >= 4 AS accepted FROM again GROUP BY 1"""),
     "fast_answer": (fast_answer, f"""WITH {_FAST} SELECT item_id, rnk::INT AS rnk, doc_id, start::INT AS start, fin::INT AS "end", score, round({sql_coverage('tokens', 'content')}, 6) AS coverage, round(least(1.0, greatest(0.0, 0.5 * score / 10 + 0.5 * ({sql_coverage('tokens', 'content')}))), 3) AS confidence FROM h WHERE coalesce(before, 0) < 15000"""),
+    "answer_summary": (answer_summary, f"""WITH {_FAST_HEADED}, k AS (SELECT *, min(rnk) OVER (PARTITION BY item_id) AS first FROM h WHERE coalesce(before, 0) < 15000),
+        t AS (SELECT *, CASE WHEN length(content) <= 240 THEN 0 ELSE (SELECT max({{'h': len(list_filter(tokens, lambda t: contains(substr(content, (s + 1)::BIGINT, 240), t))), 's': -s}}).s FROM (SELECT unnest(range(0, length(content) - 239, 60)) AS s)) END AS off FROM k WHERE rnk = first)
+        SELECT item_id, '【摘要】' || query || chr(10) || '【来源】' || doc_id || chr(10) || '[1] (' || CASE WHEN start = 0 AND fin = n OR start < 6 OR fin > n - 19 THEN '[?]' ELSE 'Part one' END || ' full [' || start || ',' || fin || ')) '
+            || CASE WHEN length(content) <= 240 THEN content ELSE CASE WHEN off::BIGINT < 0 THEN '…' ELSE '' END || substr(content, 1 - off::BIGINT, 240) || CASE WHEN 240 - off::BIGINT < length(content) THEN '…' ELSE '' END END || chr(10) AS summary FROM t"""),
+    "citation_spans": (citation_spans, f"WITH {ITEMS}, g AS (SELECT item_id, doc_id, 17 + instr(text, query) - 1 AS s, length(query) AS n, length(text) AS l FROM items JOIN documents ON contains(text, query)) SELECT item_id, doc_id, 'Part one' AS span, '[?]' AS rest FROM g"),
     "deep_search": (deep_search, None),
     "deep_answer": (deep_answer, f"""WITH {BM25}, s AS (SELECT r.item_id, r.rnk, round({sql_keyword_score('tokens', 'text')}, 6) AS score, round({sql_coverage('tokens', 'text')}, 6) AS coverage FROM ranked r JOIN items USING (item_id) JOIN documents USING (doc_id) WHERE rnk <= 4),
         p AS (SELECT *, coalesce(max(CASE WHEN score >= 8 AND coverage >= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM s),

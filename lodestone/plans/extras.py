@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql as sq
 from ..operators import evidence as ev
+from ..operators import knowledge as kn
 from ..operators import lexicon
 from .common import read, sources
 
@@ -47,10 +48,10 @@ def renumber_citations(spark, d):
 
 def detect_conflict_states(spark, d):
     """Clusters that a conflict makes contested: both ends of every differing claim."""
-    from .knowledge import detect_conflicts
+    from .knowledge import _claims
 
-    c = detect_conflicts(spark, d)
-    return c.select(F.explode(F.array("a", "b")).alias("cluster")).distinct().withColumn("lifecycle", F.lit("contested"))
+    c = kn.claim_classes(_claims(spark, d), "grp").where("others > 0")
+    return c.select(F.col("id").alias("cluster")).distinct().withColumn("lifecycle", F.lit("contested"))
 
 
 QUERIES = {

@@ -185,7 +185,7 @@ def accept_fold(spark, d):
     return fo.accepted(pairs, c, 3)
 
 
-_ACCEPT = f"""WITH u AS (SELECT conv_id AS id, list(coalesce(text, '') ORDER BY turn) FILTER (role = 'user') AS q, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS content FROM conversations GROUP BY 1),
+_ACCEPT = rf"""WITH u AS (SELECT conv_id AS id, list(coalesce(text, '') ORDER BY turn) FILTER (role = 'user') AS q, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS content FROM conversations GROUP BY 1),
     k AS (SELECT id, content, q[1] AS name, q[greatest(1, len(q) - 4):] AS queries, substr(sha256(array_to_string({sql_unigrams('q[1]')}, '|')), 1, 16) AS topic,
         [substr(trim(q[1], ' '), 1, 80), substr(trim(regexp_extract(content, '[^\n]*\S[^\n]*'), ' '), 1, 80)] AS levels FROM u WHERE q IS NOT NULL),
     c AS (SELECT id, topic, regexp_extract(content, '[0-9]+') AS claim, list_filter(queries || levels, lambda x: x <> '') AS keys, lower(concat_ws(' ', content, name, array_to_string(queries, ' '), topic, '', array_to_string(levels, ' '))) AS body FROM k),
@@ -223,8 +223,8 @@ _CONF = "c AS (SELECT source AS grp, regexp_extract(text, '[0-9]+') AS claim, mi
 
 
 def conflicts_for(spark, d):
-    c = detect_conflicts(spark, d)
-    return c.select(F.explode(F.array("a", "b")).alias("cluster")).groupBy("cluster").agg(F.count("*").alias("n"))
+    c = kn.claim_classes(_claims(spark, d), "grp").where("others > 0")
+    return c.groupBy(F.col("id").alias("cluster")).agg(F.sum("others").alias("n"))
 
 
 def _together(spark, d):
