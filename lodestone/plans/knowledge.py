@@ -201,13 +201,13 @@ _ACCEPT = rf"""WITH u AS (SELECT conv_id AS id, list(coalesce(text, '') ORDER BY
 def tidy_fixpoint(spark, d):
     """The vectors as clusters, older by number, folded until no two are close; parts of one order are retrieved together.
 
-    These vectors are nearly orthogonal, so the line is 0.4 instead of the usual 0.55; they have no texts to check.
+    These vectors are nearly orthogonal, so the line is 0.45 instead of the usual 0.55; they have no texts to check.
     """
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     c = conversation_clusters(spark, d).limit(0)
     c = v.select("id", "vector", F.col("id").alias("created"), F.array(F.col("id").cast("string")).alias("queries"), F.lit("").alias("content"), F.lit("").alias("topic"), F.lit("").alias("name"), F.lit("emerging").alias("lifecycle"), F.lit(0.5).alias("confidence"), F.lit(0.5).alias("hotness"), F.lit(1).alias("version"), *[F.array().cast(c.schema[x].dataType).alias(x) for x in ("aliases", "level_keys", "evidence", "flags")])
     known = v.select(F.col("id").cast("string").alias("text"), "vector")
-    _, decided = fo.tidy(c, lambda texts: texts.join(known, "text"), 0.4, together=cooccur_edges(spark, d), check=False)
+    _, decided = fo.tidy(c, lambda texts: texts.join(known, "text"), 0.45, together=cooccur_edges(spark, d), check=False)
     return decided.select("winner", "loser", F.round("sim", 6).alias("sim"), "round")
 
 

@@ -101,7 +101,7 @@ def tidied_plainly(clusters, vector, theta, together, most=None):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 4])
+@pytest.mark.parametrize("seed", [4])
 def test_tidy_is_one_fold_after_the_other(spark, seed):
     rng = np.random.default_rng(seed)
     n = 24
