@@ -24,7 +24,7 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(Q) if n != "vocab_mine"])
+@pytest.mark.parametrize("name", sorted(Q))
 def test_matches_sql(spark, con, name):
     df = Q[name](spark, SF)
     cols = sorted(df.columns)

@@ -82,3 +82,33 @@ def test_dissimilar_is_the_plain_loop(spark):
     texts = ["a b c", "a b d", "x y", "", "x y z", "中文 字", "中文 子"]
     got = spark.createDataFrame([(texts,)], "t array<string>").select(lexicon.dissimilar(F.col("t")).alias("x")).first()["x"]
     assert got == lexicon.keep_dissimilar(texts, [])
+
+
+def mined_plainly(texts, longest, least_df):
+    import re
+    from collections import Counter
+
+    freq, df = Counter(), Counter()
+    for t in texts:
+        own = [r[a : a + n] for r in re.findall("[\u4e00-\u9fff]+", t or "") for a in range(len(r)) for n in range(2, longest + 1) if a + n <= len(r)]
+        freq.update(own)
+        df.update(set(own))
+    best = Counter()
+    for g, n in freq.items():
+        if len(g) > 2:
+            for part in (g[1:], g[:-1]):
+                best[part] = max(best[part], n)
+    return sorted(((g, d, freq[g]) for g, d in df.items() if d >= least_df and not (best[g] and best[g] >= 8 * freq[g] // 10)), key=lambda r: (-r[1], -r[2], r[0]))
+
+
+def test_han_terms(spark):
+    """Pieces of two to six characters; what nearly always stands inside a longer piece goes."""
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(["连接池", "连接", "最大", "大小", "池", "是", "abc ", "，"], k=rng.randrange(0, 25))) for _ in range(40)] + [None, "", "连接池最大大小", "a连b接c", "连接池连接池连接池连接池"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, body string")
+    for longest, least in ((6, 2), (3, 1), (2, 3)):
+        got = [tuple(r) for r in lexicon.mine_han(docs, "doc_id", "body", longest, least, 10_000).collect()]
+        assert got == mined_plainly(texts, longest, least)
+    assert lexicon.mine_han(docs, "doc_id", "body", limit=3).count() == 3
