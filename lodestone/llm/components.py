@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(u, v) links of longs -> (node, label): label is the smallest node of its component; labels themselves are left out.
 
     Each step is a partial aggregation and an equi-join on a node; a node with very many links is split by adaptive
-    execution. Every step is written to the shared folder.
+    execution. Every step is written to the shared folder. Repeated links and links of a node to itself change nothing,
+    nulls have no place here, and no links give no rows.
     """
     edges = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None

@@ -8,7 +8,7 @@ further back for the class; the pairs of the own class with the last word's and
 The third factor shares a place out among its words by add-one counts, one share being for all unseen words. Counts cover
 every training token, and so do the neighbours' counts. The weights are trained in rounds over disjoint parts of the
 training rows: each trainer takes AdaGrad steps over its rows from common weights, and the changes are averaged, by
-tokens, in a two-level tree. What words' counts gather grows with the corpus; the classes and the weights of the contexts
+tokens, in levels of 64 changes each. What words' counts gather grows with the corpus; the classes and the weights of the contexts
 have a fixed size.
 
 A word's number is 64 bits: a hash above, its ending's kind and its place below. Texts are split into words once; their
@@ -81,7 +81,11 @@ def tokens_of(text: bytes | None) -> np.ndarray:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with each text's words as numbers (words, bytes of 64-bit integers, the end included) in its place, written once."""
+    """docs with each text's words as numbers (words, bytes of 64-bit integers, the end included) in its place, written once.
+
+    A null or blank text has its end alone. Rows stand one by one, whatever repeats; no rows give none.
+    """
+
     def run(batches):
         take_memory("words", _forget)
         for batch in batches:
@@ -102,6 +106,7 @@ def count(rows: DataFrame) -> DataFrame:
 
     Rows marked near stand apart: how often a kind of ending has words of each of NEAR sorts beside it or one word away.
     """
+
     def run(batches):
         held, size, near = [], 0, np.zeros(KINDS * NEAR, np.int64)
         for batch in batches:

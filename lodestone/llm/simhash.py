@@ -82,7 +82,10 @@ def links_of(members: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndar
 
 
 def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """(u, v) of distinct fingerprints (column fp): enough links to connect all that are within so many bits, directly or by steps."""
+    """(u, v) of distinct fingerprints (column fp): enough links to connect all that are within so many bits, directly or by steps.
+
+    Zero, the fingerprint of texts without words, links like any other. Fewer than two fingerprints give no rows.
+    """
     import pyarrow as pa
 
     places = list(combinations(range(8), 8 - bits))
@@ -129,7 +132,7 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def grouped(prints: DataFrame, bits: int = BITS, holder: Column | None = None) -> DataFrame:
-    """(fp, component, holder) for each distinct fp of prints; holder is the least value of that column in the component."""
+    """(fp, component, holder) for each distinct fp of prints; holder is the least value of that column in the component, null if all are. No prints, no rows."""
     own = prints.groupBy("fp").agg(F.min(holder).alias("holder"))
     found = components(links(own.select("fp"), bits))
     named = own.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("component"), "holder")

@@ -116,7 +116,11 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each record (and its ids), from the files; every checksum is verified."""
+    """doc_id, start, n_tokens, ids_crc32 of each record (and its ids), from the files; every checksum is verified.
+
+    Null texts were written as empty ones, so they have their end id alone; null and repeated doc_ids come back as they
+    were. Files of an empty table give no rows.
+    """
     import pyarrow as pa
 
     def read(batches):

@@ -61,7 +61,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def write_warc(pages: DataFrame, path: str, least: int = 1000, level: int = 3) -> DataFrame:
-    """Writes an archive for each task under path; the manifest of the archives that count."""
+    """Writes an archive for each task under path; the manifest of the archives that count.
+
+    A null html is an empty payload and a null url an empty one; pages without page_id never hold a payload for others.
+    Equal pages each have a record. No pages give no archives.
+    """
     import pyarrow as pa
 
     make_dirs(f"{path}/archives")
@@ -168,7 +172,8 @@ def _id(value: str | None) -> int | None:
 def read_warc(spark: SparkSession, archives: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     """A row for each record of the archives (path, bytes): what its headers and payload say.
 
-    The payload of a response is hashed and measured again; ValueError if it isn't what its headers promise.
+    The payload of a response is hashed and measured again; ValueError if it isn't what its headers promise. No archives
+    give no rows.
     """
     import pyarrow as pa
 
