@@ -17,12 +17,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose language can be told, learned from the labelled ones among them; all, if none is labelled."""
+    """The documents whose language can be told, learned from the labelled ones among them; all, if none is labelled. Null texts and texts without letters go; an empty table stays empty."""
     return language.accepted(docs, 5, LIFT)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least doc_id, of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
+    """One document, that with the least doc_id, of each group of near copies: five-word shingles, Jaccard 0.8 or more. Null and blank texts are one group; columns keep their values whatever their names and types."""
     return simhash.near_dedup(docs)
 
 
@@ -32,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids and their places in sequences of at most 2048."""
+    """Pieces of the documents' token ids and their places in sequences of at most 2048. A null text is its end id alone; doc_id is cast to long; no documents, no pieces."""
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, window=2048)
 
 
