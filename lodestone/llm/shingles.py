@@ -3,9 +3,11 @@
 A text is the set of its lower-cased shingles of five words. Equal sets are one entry. Sets whose SimHash fingerprints
 differ in at most four bits meet through the byte-position index of simhash.py. Each set also gives BANDS terms of ROWS
 minima each; two sets meet in a list if they share a term, which a pair of Jaccard s does with probability
-1 - (1 - s^ROWS)^BANDS: all but 1.3e-7 of pairs at 0.8, and fewer are missed above. Candidates are then compared by their whole
-sets, so nothing below the bound is linked. In a list every member is compared with the list's least one first; only
-members that this leaves in different components are compared with each other.
+1 - (1 - s^ROWS)^BANDS: all but 1.3e-7 of pairs at 0.8, and fewer are missed above. A set's sketch holds one bit of each of its
+minima; two sets of Jaccard s agree in a bit with probability (1 + s) / 2, so all but 6.5e-8 of pairs at 0.8 differ in at
+most far() = 45 of 200 bits, while 1.2 % of pairs at 0.4 do. Candidates within that are then compared by their whole sets, so
+nothing below the bound is linked. In a list every member is compared with the list's least one first; only members that
+this leaves in different components are compared with each other, and only pairs within far() leave the list.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from .simhash import bits_over_half, links
 
 WIDTH, LEAST, SEED = 5, 0.8, 42
 BANDS, ROWS = 40, 5
+MISSED = 1e-7
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS), np.uint64)
 _SALT, _TIMES, _JOIN = _DRAWN[0], _DRAWN[1] | np.uint64(1), _DRAWN[2].reshape(BANDS, ROWS) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -41,15 +44,35 @@ def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(hashes(text, width))
 
 
-def terms(found: np.ndarray) -> np.ndarray:
-    """The terms of a set, one a band; an empty set has none."""
-    if not len(found):
-        return np.empty(0, np.uint64)
+def minima(found: np.ndarray) -> np.ndarray:
+    """The least value of a set under each of BANDS * ROWS hash functions; all ones for an empty set."""
     least = np.full(BANDS * ROWS, ~np.uint64(0))
     for k in range(0, len(found), 256):
         drawn = found[None, k : k + 256] ^ _SALT[:, None]
         drawn *= _TIMES[:, None]
         least = np.minimum(least, drawn.min(1))
+    return least
+
+
+def sketch(least: np.ndarray) -> np.ndarray:
+    """One mixed bit of each minimum, packed into words of 64 bits."""
+    bits = (least ^ least >> np.uint64(29)) * _MIX >> np.uint64(63)
+    return np.packbits(np.pad(bits.astype(np.uint8), (0, -len(bits) % 64))).view(np.int64)
+
+
+def far(least: float) -> int:
+    """The fewest differing bits of two sketches that a pair of this Jaccard exceeds with a probability of at most MISSED."""
+    from math import comb
+
+    n, p = BANDS * ROWS, (1 - least) / 2
+    tail, d = 0.0, n
+    while d > 0 and (tail := tail + comb(n, d) * p**d * (1 - p) ** (n - d)) <= MISSED:
+        d -= 1
+    return d
+
+
+def terms(least: np.ndarray) -> np.ndarray:
+    """The terms of a set by its minima, one a band."""
     h = ((least.reshape(BANDS, ROWS) ^ least.reshape(BANDS, ROWS) >> np.uint64(29)) * _JOIN).sum(1, dtype=np.uint64)
     return (h ^ h >> np.uint64(31)) * _MIX
 
@@ -60,27 +83,29 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _entries(marked: DataFrame) -> DataFrame:
-    """(doc_id, _row, fp, n, print, terms) of each row: fp names the set, n is its size, print its SimHash fingerprint."""
+    """(doc_id, _row, fp, n, print, sketch, terms) of each row: fp names the set, n is its size, print its SimHash fingerprint; an empty set has no terms."""
     import pyarrow as pa
     from xxhash import xxh64_intdigest
 
     def run(batches):
         take_memory("shingles")
         for batch in batches:
-            names, sizes, prints, own = [], [], [], []
+            names, sizes, prints, sketches, own = [], [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 every = hashes(text)
                 found = np.unique(every)
                 prints.append(bits_over_half(every))
-                names.append(xxh64_intdigest(found.tobytes(), SEED)), sizes.append(len(found)), own.append(terms(found))
+                least = minima(found)
+                names.append(xxh64_intdigest(found.tobytes(), SEED)), sizes.append(len(found)), sketches.append(sketch(least).tolist())
+                own.append(terms(least) if len(found) else np.empty(0, np.uint64))
             edges = np.append(0, np.cumsum([len(x) for x in own])).astype(np.int32)
             flat = np.concatenate(own) if own else np.empty(0, np.uint64)
-            columns = [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "_row", "fp", "n", "print", "terms"])
+            columns = [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sketches, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "_row", "fp", "n", "print", "sketch", "terms"])
 
     id_type = marked.schema["doc_id"].dataType.simpleString()
     rows = marked.select("doc_id", "_row", F.col("text").cast("string").alias("text"))
-    return staged(in_batches(rows, run, f"doc_id {id_type}, _row long, fp long, n long, print long, terms array<long>"), "shingles")
+    return staged(in_batches(rows, run, f"doc_id {id_type}, _row long, fp long, n long, print long, sketch array<long>, terms array<long>"), "shingles")
 
 
 def _lists(own: DataFrame) -> DataFrame:
@@ -156,6 +181,17 @@ def _sized(small: str, large: str, least: float):
     return F.least(small, large) >= F.lit(least) * F.greatest(small, large)
 
 
+def _within(u: str, v: str, bits: int):
+    """Whether two sketches differ in at most so many bits."""
+    return sum(F.bit_count(F.col(u)[k].bitwiseXOR(F.col(v)[k])) for k in range(-(-BANDS * ROWS // 64))) <= bits
+
+
+def _sketched(pairs: DataFrame, own: DataFrame, least: float) -> DataFrame:
+    """Those pairs (u, v) whose sketches leave a Jaccard of at least so much."""
+    x, y = (own.select(F.col("fp").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "uv")
+    return pairs.join(x, "u").join(y, "v").where(_within("sketch_u", "sketch_v", far(least))).select("u", "v")
+
+
 def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """docs with one row left of each component of pairs with at least this Jaccard: that with the least doc_id (null last; of equal ids, one).
 
@@ -165,21 +201,22 @@ def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """
     marked = carried(docs)
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
-    own = staged(_entries(marked).groupBy("fp").agg(F.min(first).alias("holder"), F.first("n").alias("n"), F.min("print").alias("print"), F.first("terms").alias("terms")), "sets")
+    own = staged(_entries(marked).groupBy("fp").agg(F.min(first).alias("holder"), F.first("n").alias("n"), F.min("print").alias("print"), F.first("sketch").alias("sketch"), F.first("terms").alias("terms")), "sets")
     lists = _lists(own)
     alike = staged(_alike(own), "alike")
     members = lists.select("fp").unionByName(alike.select(F.col("u").alias("fp"))).unionByName(alike.select(F.col("v").alias("fp"))).distinct().join(own.select("fp", "holder"), "fp").select("fp", F.col("holder.row").alias("_r"), F.col("holder.doc_id").alias("_d"))
     texts = marked.select("doc_id", "_row", "text").join(members, (F.col("_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select("fp", F.col("text").cast("string").alias("text"))
     sets = _sets(texts.dropDuplicates(["fp"]))
 
-    star = staged(lists.where(F.col("fp") != F.col("root")).where(_sized("n", "root_n", least)).select(F.col("fp").alias("u"), F.col("root").alias("v")).unionByName(alike).distinct(), "pairs")
+    star = lists.where(F.col("fp") != F.col("root")).where(_sized("n", "root_n", least)).select(F.col("fp").alias("u"), F.col("root").alias("v")).unionByName(alike).distinct()
+    star = staged(_sketched(star, own, least), "pairs")
     near = _near(star, sets, least)
     found = components(near)
     rest = lists.where(F.col("fp") != F.col("root")).join(found, F.col("fp") == F.col("node"), "left").select("term", "fp", "n", F.coalesce("label", "fp").alias("label"))
     split = rest.groupBy("term").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("term")
-    rest = staged(rest.join(split, "term", "left_semi"), "lists")
-    x, y = (rest.select("term", F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("label").alias(f"label_{c}")) for c in "uv")
-    more = x.join(y, "term").where("u > v and label_u <> label_v").where(_sized("n_u", "n_v", least)).select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
+    rest = staged(rest.join(split, "term", "left_semi").join(own.select("fp", "sketch"), "fp"), "lists")
+    x, y = (rest.select("term", F.col("fp").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("n", "label", "sketch")]) for c in "uv")
+    more = x.join(y, "term").where("u > v and label_u <> label_v").where(_sized("n_u", "n_v", least)).where(_within("sketch_u", "sketch_v", far(least))).select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
     found = components(near.unionByName(_near(more, sets, least)))
 
     named = own.join(found, F.col("fp") == F.col("node"), "left").select(F.coalesce("label", "fp").alias("component"), "holder")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 
 import corpus_pipeline
@@ -61,3 +62,19 @@ def test_lists_compare_what_the_root_leaves(spark):
     want, _ = brute(docs)
     got = shingles.one_of_each(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in got.collect()) == want
+
+
+def test_sketches_tell_near_sets_from_far_ones():
+    """Sets of Jaccard 0.8 lie within far(0.8) bits, whatever their size; sets of 0.4 seldom do."""
+    draw = np.random.default_rng(5)
+
+    def differing(k, own):
+        """Bits between the sketches of two sets with a union of 10 k, of which each has own * k for itself."""
+        x = draw.integers(0, 1 << 64, 10 * k, np.uint64)
+        a, b = (shingles.sketch(shingles.minima(np.unique(s))) for s in (x[: (10 - own) * k], x[own * k :]))
+        return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+
+    assert shingles.far(0.8) == 45 and shingles.far(1.0) == 0
+    for k in (1, 10, 100):
+        assert max(differing(k, 1) for _ in range(400)) <= 45
+    assert sum(differing(20, 3) <= 45 for _ in range(300)) < 30
