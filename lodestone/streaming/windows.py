@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 
 def tumbling(events: DataFrame, size: str = "1 hour", late: str | None = None, keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
@@ -68,6 +69,19 @@ class SessionStack:
     def __init__(self, decay: float = 0.6, floor: float = 0.1, cap: int = 40, ttl: float = 1800.0):
         self.decay, self.floor, self.cap, self.ttl = decay, floor, cap, ttl
 
+    def fold(self, docs: dict, last: float | None, rows) -> tuple[dict, float | None]:
+        """The stack and its last second after more rows (second, doc_id, weight) in order."""
+        for t, doc, weight in rows:
+            if last is not None and t - last > self.ttl:
+                docs = {}
+            docs = {k: v * self.decay for k, v in docs.items() if v * self.decay >= self.floor}
+            docs[doc], last = max(docs.get(doc, 0.0), weight), t
+        return docs, last
+
+    def best(self, docs: dict) -> list[tuple]:
+        """(doc_id, weight) of the heaviest, ties by id."""
+        return sorted(docs.items(), key=lambda x: (-x[1], x[0]))[: self.cap]
+
     def __call__(self, key, batches, state):
         import pandas as pd
 
@@ -76,17 +90,65 @@ class SessionStack:
             d, w, last = state.get
             docs = dict(zip(d, w))
         for pdf in batches:
-            for ts, doc, weight in pdf.sort_values("ts")[["ts", "doc_id", "weight"]].itertuples(index=False):
-                t = ts.timestamp()
-                if last is not None and t - last > self.ttl:
-                    docs = {}
-                docs = {k: v * self.decay for k, v in docs.items() if v * self.decay >= self.floor}
-                docs[doc], last = max(docs.get(doc, 0.0), weight), t
-        top = sorted(docs.items(), key=lambda x: (-x[1], x[0]))[: self.cap]
+            rows = pdf.sort_values("ts")[["ts", "doc_id", "weight"]].itertuples(index=False)
+            docs, last = self.fold(docs, last, ((ts.timestamp(), doc, weight) for ts, doc, weight in rows))
+        top = self.best(docs)
         state.update(([k for k, _ in top], [v for _, v in top], last or 0.0))
         yield pd.DataFrame({"session": [key[0]] * len(top), "doc_id": [k for k, _ in top], "weight": [v for _, v in top]})
 
 
+class SessionProcessor(StatefulProcessor):
+    """The stack as keyed state that a timer of event time ends: see session_stacks()."""
+
+    def __init__(self, stack: SessionStack):
+        self.stack = stack
+
+    def init(self, handle):
+        self.handle, self.state = handle, handle.getValueState("stack", SessionStack.STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        docs, last = {}, None
+        if self.state.exists():
+            d, w, last = self.state.get()
+            docs = dict(zip(d, w))
+        pdf = pd.concat(rows).sort_values(["ts", "doc_id"])
+        docs, last = self.stack.fold(docs, last, ((ts.timestamp(), doc, weight) for ts, doc, weight in zip(pdf["ts"], pdf["doc_id"].tolist(), pdf["weight"].tolist())))
+        top = self.stack.best(docs)
+        self.state.update(([k for k, _ in top], [v for _, v in top], last))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(int((last + self.stack.ttl) * 1000) + 1)
+        yield self._rows(key, last, top)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        last = self.state.get()[2]
+        self.state.clear()
+        yield self._rows(key, last, [(None, None)])
+
+    @staticmethod
+    def _rows(key, last, top):
+        import pandas as pd
+
+        ids, weights = pd.array([k for k, _ in top], "Int64"), pd.array([v for _, v in top], "Float64")
+        return pd.DataFrame({"session": key[0], "at": round(last * 1_000_000), "doc_id": ids, "weight": weights})
+
+
+def session_stacks(turns: DataFrame, late: str = "10 minutes", stack: SessionStack | None = None) -> DataFrame:
+    """A stream of touches (session, ts, doc_id, weight) as the stream of its sessions' stacks (session, at, doc_id, weight).
+
+    Each micro-batch gives a touched session's whole stack, with its last touch's time in microseconds; rows with the
+    same session and a later ``at`` take its place. Once the watermark is half an hour behind a session's last touch, its
+    state is dropped and one row without a doc_id says so. Touches of one micro-batch are taken in order of time and
+    doc_id. Nulls have no place here.
+    """
+    turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = turns.select("session", "ts", "doc_id", "weight").withWatermark("ts", late)
+    processor = SessionProcessor(stack or SessionStack())
+    return rows.groupBy("session").transformWithStateInPandas(processor, "session long, at long, doc_id long, weight double", "Update", "EventTime")
+
+
 def session_context(turns: DataFrame, most: int = 240) -> DataFrame:
     """Each user turn with the last three user turns' texts joined, at most 240 characters from the end."""
     u = turns.where("role = 'user'")
