@@ -49,11 +49,43 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def sampled(tokens: Column, text: Column, rounds: int = 2, seeds: int = 3, seed: int = 42, spread: float = 180.0) -> Column:
+ARMS = ("lex", "local", "global")
+
+
+def arm_budget(weights: Column, slots: int = 5, boost: float = 1.0) -> Column:
+    """struct<lex,local,global>: a round's slots by the arms' weights (a struct of the same fields).
+
+    Every arm has one; each of those left goes to one arm more, the heaviest first (ties in the order of ARMS). A boost
+    over 1 moves that much more of what is above one to the global arm, from the arm with more slots first.
+    """
+    w = [weights[a] for a in ARMS]
+    left = max(slots, len(ARMS)) - len(ARMS)
+    ahead = lambda k: sum((w[j] >= w[k] if j < k else w[j] > w[k]).cast("int") for j in range(len(ARMS)) if j != k)
+    lex, local, rest = (1 + (ahead(k) < left).cast("int") for k in range(len(ARMS)))
+    movable = min(left, len(ARMS))
+    extra = min(movable, int(movable * max(boost - 1, 0)))
+    if extra:
+        first = lex >= local
+        one = F.least(F.lit(extra), F.greatest(lex, local) - 1)
+        two = F.least(extra - one, F.least(lex, local) - 1)
+        lex, local, rest = lex - F.when(first, one).otherwise(two), local - F.when(first, two).otherwise(one), rest + one + two
+    return F.struct(lex.alias("lex"), local.alias("local"), rest.alias("global"))
+
+
+def arm_learned(weights: Column, good: Column, old: float = 0.5) -> Column:
+    """The arms' weights after a round: half the old one, half the arm's share of the round's windows that score 4 or more (good: counts by arm), made to sum to 1."""
+    total = sum(good[a] for a in ARMS)
+    raw = F.array(*[old * weights[a] + (1 - old) * F.coalesce(F.try_divide(good[a].cast("double"), total.cast("double")), F.lit(0.0)) for a in ARMS])
+    return let(raw, lambda r: F.struct(*[(r[k] / (r[0] + r[1] + r[2])).alias(a) for k, a in enumerate(ARMS)]))
+
+
+def sampled(tokens: Column, text: Column, rounds: int = 2, seeds: int = 3, seed: int = 42, spread: float = 180.0, slots: int = 5, boost: float = 1.0) -> Column:
     """array<struct<start,end,score>>: the scored windows of a long text, best first within the budget.
 
-    A sweep of evenly spaced windows and of windows around the query's words, then rounds of windows around the best ones
-    so far and of scattered ones, drawn from hashes, so that reruns agree. Of windows with one start, the first counts.
+    A sweep of evenly spaced windows and of windows around the query's words, then rounds of three arms: windows around
+    the query's words, around the best windows so far, and scattered ones, drawn from hashes, so that reruns agree. Each
+    round's slots follow the weights that the arms' yields left (arm_budget, arm_learned). Of windows with one start, the
+    first counts.
     """
     n, half = F.length(text), WINDOW // 2
     u = lambda *salt: (F.pmod(F.xxhash64(*map(F.lit, salt[:-1]), salt[-1], n), F.lit(1 << 30)) + 1) / float((1 << 30) + 2)
@@ -67,37 +99,51 @@ def sampled(tokens: Column, text: Column, rounds: int = 2, seeds: int = 3, seed:
         best = F.array_sort(F.transform(once, lambda w: F.struct((-w["score"]).alias("low"), w["start"].alias("start"), w["end"].alias("end"))))
         return F.transform(best, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), (-w["low"]).alias("score")))
 
-    def with_round(found: Column, r: int) -> Column:
-        def moved(w: Column) -> Column:
-            return let(F.floor((w["start"] + w["end"]) / 2), shifted)
+    def shifted(centre: Column, r: int, k: Column) -> Column:
+        return centre + F.round(F.sqrt(-2 * F.log(u(seed, r, 1, centre + k))) * F.cos(u(seed, r, 2, centre + k) * 6.283185307179586) * spread)
+
+    def around_words(k: Column) -> Column:
+        return F.transform(F.slice(F.array_distinct(tokens), F.lit(1), k), lambda t: scored(F.when(F.instr(text, t) == 0, F.floor(n / 2)).otherwise(F.instr(text, t) - 1)))
+
+    def around_best(found: Column, r: int, k: Column) -> Column:
+        def near(i: Column) -> Column:
+            w = F.get(found, F.pmod(i, F.least(F.lit(seeds), F.size(found))))
+            return let(F.floor((w["start"] + w["end"]) / 2), lambda centre: scored(shifted(centre, r, i)))
+
+        return F.transform(F.sequence(F.lit(0), k - 1), near)
+
+    def next_round(state: Column, r: int) -> Column:
+        def drawn(b: Column) -> Column:
+            far = F.transform(F.sequence(F.lit(0), b["global"] - 1), lambda k: scored(F.floor(u(seed, r, 3, k) * n)))
+            return F.struct(around_words(b["lex"]).alias("lex"), around_best(state["found"], r, b["local"]).alias("local"), far.alias("global"))
 
-        def shifted(centre: Column) -> Column:
-            return centre + F.round(F.sqrt(-2 * F.log(u(seed, r, 1, centre))) * F.cos(u(seed, r, 2, centre) * 6.283185307179586) * spread)
+        def learned(batch: Column) -> Column:
+            good = F.struct(*[F.size(F.filter(batch[a], lambda w: w["score"] >= KEEP)).alias(a) for a in ARMS])
+            return F.struct(let(F.concat(state["found"], *[batch[a] for a in ARMS]), ordered).alias("found"), arm_learned(state["weights"], good).alias("weights"))
 
-        near = F.transform(F.slice(found, 1, seeds), lambda w: scored(moved(w)))
-        far = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda k: scored(F.floor(u(seed, r, 3, k) * n)))
-        return let(F.concat(found, near, far), ordered)
+        return let(let(arm_budget(state["weights"], slots, boost), drawn), learned)
 
-    def next_round(found: Column, r: int) -> Column:
-        return let(found, lambda x: with_round(x, r))
+    def with_round(state: Column, r: int) -> Column:
+        return let(state, lambda s: next_round(s, r))
 
     strata = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: scored(F.floor((2 * k + 1) * n / 10)))
-    words = F.transform(F.slice(F.array_distinct(tokens), 1, 5), lambda t: scored(F.when(F.instr(text, t) == 0, F.floor(n / 2)).otherwise(F.instr(text, t) - 1)))
-    found = let(F.concat(strata, words), ordered)
+    even = F.struct(*[F.lit(1 / len(ARMS)).alias(a) for a in ARMS])
+    state = F.struct(let(F.concat(strata, around_words(F.lit(5))), ordered).alias("found"), even.alias("weights"))
     for r in range(rounds):
-        found = next_round(found, r)
+        state = with_round(state, r)
+    found = state["found"]
     size = lambda w: F.octet_length(slice_of(text, w["start"], w["end"])).cast("long")
     begin = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<start:int,end:int,score:double>>").alias("w"))
     return F.aggregate(found, begin, lambda s, w: F.when(s["n"] >= BUDGET, s).otherwise(F.struct((s["n"] + size(w)).alias("n"), F.concat(s["w"], F.array(w)).alias("w"))), lambda s: s["w"])
 
 
-def evidence_windows(tokens: Column, text: Column) -> Column:
-    """array<struct<start,end,score>> of a text: one window up to 100,000 characters, else the sampled ones."""
+def evidence_windows(tokens: Column, text: Column, boost: float = 1.0) -> Column:
+    """array<struct<start,end,score>> of a text: one window up to 100,000 characters, else the sampled ones (boost: see arm_budget)."""
     n = F.length(text)
     start = F.when(n > LARGE, densest_start(tokens, text, LARGE)).otherwise(0)
     one = lambda s: F.struct(s.alias("start"), F.least(n, s + LARGE).alias("end"), let(F.lower(slice_of(text, s, F.least(n, s + LARGE))), lambda x: F.round(tx.keyword_score(tokens, x), 6)).alias("score"))
     whole = F.transform(F.array(start), one)
-    return F.when(n <= WHOLE, whole).otherwise(sampled(tokens, text))
+    return F.when(n <= WHOLE, whole).otherwise(sampled(tokens, text, boost=boost))
 
 
 def stratified(rows: DataFrame, text: str, k: int = 5) -> DataFrame:

@@ -64,6 +64,33 @@ def test_texts_beyond_the_whole_file_bound_are_sampled(spark):
     assert len({r["start"] for r in found}) == len(found)
 
 
+def _struct(spark, column):
+    return tuple(spark.range(1).select(column.alias("x")).first()["x"])
+
+
+def _arms(lex, local, rest):
+    return F.struct(F.lit(lex).alias("lex"), F.lit(local).alias("local"), F.lit(rest).alias("global"))
+
+
+def test_arms_slots_follow_their_weights(spark):
+    budget = lambda w, *a: _struct(spark, ev.arm_budget(_arms(*w), *a))
+    assert budget((0.2, 0.3, 0.5)) == (1, 2, 2)
+    assert budget((1 / 3, 1 / 3, 1 / 3)) == (2, 2, 1)  # ties: lex, local, global
+    assert budget((0.2, 0.3, 0.5), 2) == (1, 1, 1)  # never under one each
+    assert budget((0.2, 0.3, 0.5), 4) == (1, 1, 2)
+    assert budget((0.5, 0.4, 0.1), 5, 1.5) == (1, 2, 2)  # half of what can move, from the fuller arm
+    assert budget((0.5, 0.4, 0.1), 5, 2.0) == (1, 1, 3)
+    assert budget((0.5, 0.1, 0.4), 5, 9.0) == (1, 1, 3)
+
+
+def test_arms_learn_from_what_they_find(spark):
+    learned = lambda w, g: tuple(round(x, 6) for x in _struct(spark, ev.arm_learned(_arms(*w), _arms(*g))))
+    even = (1 / 3, 1 / 3, 1 / 3)
+    assert learned(even, (0, 0, 0)) == (0.333333, 0.333333, 0.333333)
+    assert learned(even, (0, 0, 2)) == (0.166667, 0.166667, 0.666667)
+    assert learned((0.2, 0.3, 0.5), (1, 3, 0)) == (0.225, 0.525, 0.25)
+
+
 def test_substring_counts(spark):
     docs = spark.createDataFrame([(1, "The thEthe cat. aaaa 中文中文字"), (2, ""), (3, "scatter cat's")], "doc_id long, body string")
     terms = spark.createDataFrame([(t,) for t in ("the", "cat", "aa", "中文", "scatter", "none")], "term string")
