@@ -135,7 +135,12 @@ def grid(pairs: DataFrame, score: str, relevant: str, thresholds: list[float]) -
     """For each threshold: hits, kept, precision and recall of scored pairs."""
     t = F.explode(F.array(*map(F.lit, thresholds))).alias("theta")
     r = pairs.select(t, F.col(score).alias("s"), F.col(relevant).alias("r")).groupBy("theta").agg(F.count_if(F.col("s") >= F.col("theta")).alias("kept"), F.count_if((F.col("s") >= F.col("theta")) & F.col("r")).alias("hits"), F.count_if("r").alias("relevant"))
-    return r.select("theta", "kept", "hits", F.round(F.coalesce(F.try_divide("hits", "kept"), F.lit(0.0)), 3).alias("precision"), F.round(F.coalesce(F.try_divide("hits", "relevant"), F.lit(0.0)), 3).alias("recall"))
+    return rates(r)
+
+
+def rates(counts: DataFrame) -> DataFrame:
+    """counts (theta, kept, hits, relevant) with precision and recall."""
+    return counts.select("theta", "kept", "hits", F.round(F.coalesce(F.try_divide("hits", "kept"), F.lit(0.0)), 3).alias("precision"), F.round(F.coalesce(F.try_divide("hits", "relevant"), F.lit(0.0)), 3).alias("recall"))
 
 
 def reliability(scores: DataFrame, key: str, line: float) -> DataFrame:

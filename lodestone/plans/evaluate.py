@@ -192,11 +192,7 @@ def prior_history(spark, d):
 
 
 def theta_grid(spark, d):
-    v = read(spark, d, "embeddings")
-    p = ix.close_pairs(v, 0.0)
-    l = v.select("vec_id", "label")
-    p = p.join(l.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), "a").join(l.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b")
-    return ev.grid(p.select("cosine", (F.col("la") == F.col("lb")).alias("same")), "cosine", "same", [0.1, 0.2, 0.3, 0.4, 0.5, 0.55])
+    return ev.rates(ix.close_counts(read(spark, d, "embeddings"), [0.1, 0.2, 0.3, 0.4, 0.5, 0.55]))
 
 
 _COS = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6)"
