@@ -151,7 +151,7 @@ def eval_correct(spark, d):
 def eval_score(spark, d):
     """Evidence recall of each item: any canonical cited source among its gold."""
     gold = lexicon.gold_pairs(items(spark, d), sources(spark, d)).select("item_id", F.concat(F.lit("src:k"), "doc_id", F.lit("#3")).alias("key"))
-    cited = ix.stored(sources(spark, d)).rank(items(spark, d), 5).select("item_id", F.concat(F.lit("k"), "doc_id").alias("key"))
+    cited = ix.Scan(sources(spark, d), items(spark, d)).rank(items(spark, d), 5).select("item_id", F.concat(F.lit("k"), "doc_id").alias("key"))
     g = gold.groupBy("item_id").agg(F.collect_set(ev.canonical(F.col("key"))).alias("g"))
     c = cited.groupBy("item_id").agg(F.collect_set(ev.canonical(F.col("key"))).alias("c"))
     return c.join(g, "item_id", "left").select("item_id", F.coalesce(F.arrays_overlap("g", "c"), F.lit(False)).alias("ev_rec"))
@@ -178,7 +178,7 @@ def nr_breakdown(spark, d):
     """Why items lack evidence: no gold text anywhere, gold not among the admitted, or admitted."""
     i = items(spark, d)
     gold = lexicon.gold_pairs(i, sources(spark, d)).select("item_id", "doc_id")
-    r = ix.stored(sources(spark, d)).rank(i, 3).select("item_id", "doc_id", F.lit(1).alias("hit"))
+    r = ix.Scan(sources(spark, d), i).rank(i, 3).select("item_id", "doc_id", F.lit(1).alias("hit"))
     h = gold.join(r, ["item_id", "doc_id"], "left").groupBy("item_id").agg(F.count("hit").alias("hits"))
     x = i.select("item_id").join(h, "item_id", "left").select(F.when(F.col("hits").isNull(), "gold_missing").when(F.col("hits") == 0, "gold_not_admitted").otherwise("admitted").alias("reason"))
     return x.groupBy("reason").agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from ..operators import index as ix
 from ..operators import knowledge as kn
 from ..operators import lexicon
 from ..operators import saving as sv
+from ..session import kept_table
 from .common import BM25, ITEMS, items, read, sources, sql_coverage, sql_fields, sql_unigrams
 
 
@@ -308,7 +309,8 @@ def hop_freshness(spark, d):
 
 
 def cite_edges(spark, d):
-    r = ix.stored(sources(spark, d)).rank(items(spark, d), 5)
+    q = items(spark, d)
+    r = kept_table(ix.Scan(sources(spark, d), q).rank(q, 5), "ranked")  # read twice
     rows = r.select(F.col("item_id").alias("cluster"), F.col("doc_id").alias("source"), "score").unionByName(r.select(F.col("item_id"), "doc_id", (F.col("score") - 1).alias("s")).toDF("cluster", "source", "score"))
     return rows.groupBy("cluster", "source").agg(F.max("score").alias("score"), F.count("*").alias("recorded"))
 
