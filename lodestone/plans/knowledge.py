@@ -258,7 +258,7 @@ def embed_sim_edges(spark, d):
 
 
 def barrier_edges(spark, d):
-    return kn.both_ways(detect_conflicts(spark, d).withColumn("weight", F.lit(1.0))).distinct()
+    return kn.barriers(_claims(spark, d), "grp")
 
 
 def graph_expand_2hop(spark, d):
