@@ -214,7 +214,11 @@ def sequence_edges(rows: DataFrame, owner: str, order: list[str], node: str, amo
     """(a, b, hits, weight, kind) from each node to the owner's next one; a pathway from two hits on. among (node): edges with an end elsewhere are left out before they are counted."""
     rows = rows.repartition(parts_for(rows.sparkSession, rows.count()), owner)
     r = rows.withColumn("b", F.lead(node).over(W.partitionBy(owner).orderBy(*order))).where(F.col("b").isNotNull() & (F.col("b") != F.col(node)))
-    e = r.groupBy(F.col(node).alias("a"), "b").agg(F.count("*").alias("hits"))
+    r = r.select(F.col(node).alias("a"), "b")
+    if among is not None:
+        for end in ("a", "b"):
+            r = r.join(among.select(F.col("node").alias(end)), end, "left_semi")
+    e = r.groupBy("a", "b").agg(F.count("*").alias("hits"))
     return e.select("a", "b", "hits", F.lit(0.6).alias("weight"), F.when(F.col("hits") >= 2, "pathway").otherwise("plain").alias("kind"))
 
 

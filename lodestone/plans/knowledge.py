@@ -276,7 +276,8 @@ def graph_expand_nearest(spark, d):
     """
     part = read(spark, d, "part")
     li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("node"))
-    e = kn.sequence_edges(li, "l_orderkey", ["l_linenumber", "node"], "node")
+    vectors = kept_table(read(spark, d, "embeddings").select(F.col("vec_id").alias("node")).distinct(), "vector-ids")
+    e = kn.sequence_edges(li, "l_orderkey", ["l_linenumber", "node"], "node", vectors)  # walks start at and reach vectors alone
     price = lambda c: part.select(F.col("p_partkey").alias(c), F.col("p_retailprice").alias(f"price_{c}"))
     e = e.join(price("a"), "a").join(price("b"), "b").withColumn("kind", F.when(F.abs(F.col("price_a") - F.col("price_b")) > 150, "barrier").otherwise(F.col("kind")))
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("node"), "embedding", "label")
