@@ -93,10 +93,7 @@ _STALE = "e AS (SELECT doc_id, length(text) < 25 OR doc_id % 7 = 0 AS bad FROM d
 
 
 def cross_topic_near(spark, d):
-    v = read(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    l = v.select("vec_id", "label")
-    p = ix.close_pairs(v, 0.35).join(l.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), "a").join(l.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b")
-    return p.where("la <> lb").select("a", "b", "cosine")
+    return ix.close_pairs(read(spark, d, "embeddings"), 0.35, labels="other")
 
 
 _COS = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6)"
@@ -104,9 +101,7 @@ _PAIRS = f"p AS (SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS
 
 
 def _close_in_topic(spark, d):
-    v = read(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    l = v.select("vec_id", "label")
-    return ix.close_pairs(v, 0.35).join(l.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), "a").join(l.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b").where("la = lb").select("a", "b", "cosine")
+    return ix.close_pairs(read(spark, d, "embeddings"), 0.35, labels="same")
 
 
 def tidy_pairs(spark, d):
