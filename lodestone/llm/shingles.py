@@ -7,7 +7,10 @@ minima each; two sets meet in a list if they share a term, which a pair of Jacca
 minima; two sets of Jaccard s agree in a bit with probability (1 + s) / 2, so all but 6.5e-8 of pairs at 0.8 differ in at
 most far() = 45 of 200 bits, while 1.2 % of pairs at 0.4 do. Candidates within that are then compared by their whole sets, so
 nothing below the bound is linked. In a list every member is compared with the list's least one first; only members that
-this leaves in different components are compared with each other, and only pairs within far() leave the list.
+this leaves in different components are compared with each other. Lists may hold many sets that share one long passage,
+with a Jaccard of 0.6 to 0.7, which 200 bits don't tell from 0.8. So a pair leaves the list only if its parities allow it
+as well: a set's parities tell of each of PARITIES bins whether it holds an odd number of the set, so two sets differ in as
+many shingles at least as in parities, and no pair at the bound is lost.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from .simhash import bits_over_half, links
 WIDTH, LEAST, SEED = 5, 0.8, 42
 BANDS, ROWS = 40, 5
 MISSED = 1e-7
+PARITIES = 2048
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS), np.uint64)
 _SALT, _TIMES, _JOIN = _DRAWN[0], _DRAWN[1] | np.uint64(1), _DRAWN[2].reshape(BANDS, ROWS) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -71,6 +75,12 @@ def far(least: float) -> int:
     return d
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether each of PARITIES bins holds an odd number of a set's hashes, packed into words of 64 bits."""
+    bins = ((found ^ found >> np.uint64(31)) * _MIX >> np.uint64(64 - PARITIES.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(bins, minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
+
+
 def terms(least: np.ndarray) -> np.ndarray:
     """The terms of a set by its minima, one a band."""
     h = ((least.reshape(BANDS, ROWS) ^ least.reshape(BANDS, ROWS) >> np.uint64(29)) * _JOIN).sum(1, dtype=np.uint64)
@@ -147,16 +157,16 @@ def _alike(own: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """(fp, found): the sorted set of each text's hashes, as bytes, worked out once for all pairs that it is in."""
+    """(fp, found, parities): the sorted set of each text's hashes, as bytes, worked out once for all pairs that it is in, and its parities."""
     import pyarrow as pa
 
     def run(batches):
         take_memory("shingles")
         for batch in batches:
-            found = [shingles(x).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["fp", "found"])
+            found = [shingles(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([parities(x) for x in found], pa.list_(pa.int64()))], ["fp", "found", "parities"])
 
-    return staged(in_batches(texts.select("fp", "text"), run, "fp long, found binary"), "sets")
+    return staged(in_batches(texts.select("fp", "text"), run, "fp long, found binary, parities array<long>"), "sets")
 
 
 def _near(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -181,9 +191,20 @@ def _sized(small: str, large: str, least: float):
     return F.least(small, large) >= F.lit(least) * F.greatest(small, large)
 
 
+def _differing(u: str, v: str, bits: int):
+    """In how many of so many bits two columns of 64-bit words differ."""
+    return sum(F.bit_count(F.col(u)[k].bitwiseXOR(F.col(v)[k])) for k in range(-(-bits // 64)))
+
+
 def _within(u: str, v: str, bits: int):
     """Whether two sketches differ in at most so many bits."""
-    return sum(F.bit_count(F.col(u)[k].bitwiseXOR(F.col(v)[k])) for k in range(-(-BANDS * ROWS // 64))) <= bits
+    return _differing(u, v, BANDS * ROWS) <= bits
+
+
+def _even(c: str, d: str, least: float):
+    """Whether the parities of the sets c and d leave a Jaccard of at least so much: such sets of m and n shingles differ in at most (1 - least) / (1 + least) * (m + n)."""
+    most = (F.col(f"n_{c}") + F.col(f"n_{d}")) * F.lit((1 - least) / (1 + least))
+    return _differing(f"parities_{c}", f"parities_{d}", PARITIES) <= most + 1e-6
 
 
 def _sketched(pairs: DataFrame, own: DataFrame, least: float) -> DataFrame:
@@ -214,9 +235,9 @@ def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
     found = components(near)
     rest = lists.where(F.col("fp") != F.col("root")).join(found, F.col("fp") == F.col("node"), "left").select("term", "fp", "n", F.coalesce("label", "fp").alias("label"))
     split = rest.groupBy("term").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("term")
-    rest = staged(rest.join(split, "term", "left_semi").join(own.select("fp", "sketch"), "fp"), "lists")
-    x, y = (rest.select("term", F.col("fp").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("n", "label", "sketch")]) for c in "uv")
-    more = x.join(y, "term").where("u > v and label_u <> label_v").where(_sized("n_u", "n_v", least)).where(_within("sketch_u", "sketch_v", far(least))).select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
+    rest = staged(rest.join(split, "term", "left_semi").join(own.select("fp", "sketch"), "fp").join(sets.select("fp", "parities"), "fp"), "lists")
+    x, y = (rest.select("term", F.col("fp").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("n", "label", "sketch", "parities")]) for c in "uv")
+    more = x.join(y, "term").where("u > v and label_u <> label_v").where(_sized("n_u", "n_v", least)).where(_within("sketch_u", "sketch_v", far(least))).where(_even("u", "v", least)).select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
     found = components(near.unionByName(_near(more, sets, least)))
 
     named = own.join(found, F.col("fp") == F.col("node"), "left").select(F.coalesce("label", "fp").alias("component"), "holder")

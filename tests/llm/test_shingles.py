@@ -78,3 +78,34 @@ def test_sketches_tell_near_sets_from_far_ones():
     for k in (1, 10, 100):
         assert max(differing(k, 1) for _ in range(400)) <= 45
     assert sum(differing(20, 3) <= 45 for _ in range(300)) < 30
+
+
+def test_parities_are_no_further_apart_than_sets():
+    """Parities never differ in more bins than the sets in shingles, and tell most pairs of Jaccard 2/3 from those at 0.8."""
+    draw = np.random.default_rng(7)
+    for n in (1, 30, 300, 1500):
+        for own in (0, n // 9, n // 5):  # at most n // 9 of n for itself: Jaccard 0.8 or more
+            x = draw.integers(0, 1 << 64, n + own, np.uint64)
+            a, b = np.unique(x[:n]), np.unique(x[own:])
+            d = int(np.bitwise_count((shingles.parities(a) ^ shingles.parities(b)).view(np.uint64)).sum())
+            assert d <= 2 * own and (own <= n // 9 or d > 2 / 9 * n)
+    assert not shingles.parities(np.empty(0, np.uint64)).any()
+
+
+def test_a_shared_passage_makes_few_pairs(spark, monkeypatch):
+    """Of documents that share a long passage, only near pairs leave the lists, not the square of their number."""
+    draw = random.Random(11)
+    passage = [f"p{k}" for k in range(200)]
+    docs = [(k, " ".join(passage + [f"own{k}x{j}" for j in range(50)])) for k in range(60)]
+    docs += [(1000 + k, docs[7 * k][1] + f" end{draw.random()}") for k in range(8)]
+    sent, near = [], shingles._near
+
+    def counted(pairs, sets, least):
+        pairs = shingles.staged(pairs, "counted")
+        sent.append(pairs.count())
+        return near(pairs, sets, least)
+
+    monkeypatch.setattr(shingles, "_near", counted)
+    got = shingles.one_of_each(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == brute(docs)[0] == list(range(60))
+    assert len(sent) == 2 and sent[1] <= 8  # sketches alone leave over a thousand
