@@ -120,6 +120,27 @@ def test_tidy_is_one_fold_after_the_other(spark, seed):
     assert max(r["round"] for r in got) < len(want)
 
 
+def test_tidy_folds_groups_side_by_side(spark, monkeypatch):
+    """As one at a time, also where a fold's vector comes close to another group; the tables written don't grow with the rounds of best pairs."""
+    rng = np.random.default_rng(5)
+    n = 60
+    vector = {f"q{k}": rng.normal(size=8) for k in range(n)}
+    c = [cluster(k, queries=[f"q{k}"], created=int(rng.integers(5))) for k in range(n)]
+    rows = spark.createDataFrame([(*x, vector[x[6][0]].tolist()) for x in c], CLUSTER + ", vector array<double>")
+    known = spark.createDataFrame([(q, v.tolist()) for q, v in vector.items()], "text string, vector array<double>")
+    want = tidied_plainly(c, vector, 0.7, {})
+    names, kept = [], folding.kept_table
+    monkeypatch.setattr(folding, "kept_table", lambda df, name: names.append(name) or kept(df, name))
+    after, decided = folding.tidy(rows, lambda texts: texts.join(known, "text"), 0.7, check=False)
+    got = decided.collect()
+    assert sorted((r["winner"], r["loser"], round(r["sim"], 5)) for r in got) == sorted((w, l, round(s, 5)) for w, l, s in want)
+    left = {r["id"]: r for r in after.collect()}
+    assert set(left) == set(range(n)) - {l for _, l, _ in want}
+    for r in left.values():
+        assert np.allclose(r["vector"], np.mean([vector[q] for q in r["queries"]], axis=0)) and r["version"] == 1 + sum(w == r["id"] for w, _, _ in want)
+    assert names.count("tidy-made") >= 2 and "tidy-batch" not in names  # groups met; no rounds over all pairs
+
+
 def test_tidy_refuses_and_stops(spark):
     """A refused pair stays apart for good; most bounds the folds."""
     v = [1.0, 0.0]
