@@ -67,17 +67,16 @@ def merged_greedily(pairs: DataFrame) -> DataFrame:
     then the loser's later pairs drop out, and its earlier ones, in which it wins, stay. The first pair left
     always merges, so the rounds end.
     """
-    rank = F.struct((-F.col("cosine")).alias("c"), F.col("a").alias("a"), F.col("b").alias("b"))
-    left = pairs.select(F.least("a", "b").alias("winner"), F.greatest("a", "b").alias("loser"), rank.alias("rank"))
-    left = kept_table(left, "merge-pairs")
-    done = left.limit(0)
+    rank = F.struct((-F.col("cosine")).alias("c"), F.col("winner").alias("a"), F.col("loser").alias("b"))  # made where it is asked for, so a pair stays three numbers
+    left = kept_table(pairs.select(F.least("a", "b").alias("winner"), F.greatest("a", "b").alias("loser"), "cosine"), "merge-pairs")
+    done = left.select("winner", "loser", rank.alias("rank")).limit(0)
     while not left.isEmpty():
-        first = left.groupBy("loser").agg(F.min("rank").alias("first"))
-        at = left.join(first, "loser").join(first.select(F.col("loser").alias("winner"), F.col("first").alias("before")), "winner", "left")
-        now = kept_table(at.where((F.col("rank") == F.col("first")) & (F.col("before").isNull() | (F.col("rank") < F.col("before")))).select("winner", "loser", "rank"), "merge-now")
+        first = kept_table(left.groupBy("loser").agg(F.min(rank).alias("first")), "merge-first")  # names the pair as well: the pairs meet nothing to find those that merge
+        at = first.select(F.col("first.a").alias("winner"), "loser", F.col("first").alias("rank")).join(first.select(F.col("loser").alias("winner"), F.col("first").alias("before")), "winner", "left")
+        now = kept_table(at.where(F.col("before").isNull() | (F.col("rank") < F.col("before"))).select("winner", "loser", "rank"), "merge-now")
         gone = now.select(F.col("loser").alias("gone"), F.col("rank").alias("at"))
         rest = left.join(gone.select(F.col("gone").alias("loser")), "loser", "left_anti").join(gone.withColumnRenamed("gone", "winner"), "winner", "left")
-        left = kept_table(rest.where(F.col("at").isNull() | (F.col("rank") < F.col("at"))).select("winner", "loser", "rank"), "merge-pairs")
+        left = kept_table(rest.where(F.col("at").isNull() | (rank < F.col("at"))).select("winner", "loser", "cosine"), "merge-pairs")
         done = done.unionByName(now)
     return done.orderBy("rank").select("winner", "loser")
 
