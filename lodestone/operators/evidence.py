@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import kept_table
 
 WINDOW, WHOLE, LARGE, KEEP, BUDGET = 480, 100_000, 15_000, 4.0, 15_000
 
@@ -360,7 +361,7 @@ def fast_answer(queries: DataFrame, docs: DataFrame, index, k: int = 5) -> DataF
 
     A document of up to 100,000 characters is one window, its densest 15,000 where it is longer; longer ones are sampled.
     """
-    ranked = index.rank(queries, k).select("item_id", "doc_id", "rnk")
+    ranked = kept_table(index.rank(queries, k).select("item_id", "doc_id", "rnk"), "ranked")  # its size decides how documents are joined
     pairs = queries.join(ranked, "item_id").join(docs.select("doc_id", "body"), "doc_id")
     w = pairs.withColumn("w", F.explode(evidence_windows(F.col("tokens"), F.col("body"))))
     w = w.select("item_id", "rnk", "doc_id", "tokens", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.score").alias("score"), slice_of(F.col("body"), F.col("w.start"), F.col("w.end")).alias("content"))
@@ -373,7 +374,7 @@ def deep_answer(queries: DataFrame, docs: DataFrame, index, files: int = 4) -> D
 
     All candidates are scored in one pass; the early stop is a running maximum over the rank.
     """
-    ranked = index.rank(queries, files).select("item_id", "doc_id", "rnk")
+    ranked = kept_table(index.rank(queries, files).select("item_id", "doc_id", "rnk"), "ranked")  # as above
     pairs = queries.join(ranked, "item_id").join(docs.select("doc_id", "body"), "doc_id")
     s = pairs.select("item_id", "doc_id", "rnk", F.round(tx.keyword_score(F.col("tokens"), F.col("body")), 6).alias("score"), F.round(tx.coverage(F.col("tokens"), F.col("body")), 6).alias("coverage"))
     w = W.partitionBy("item_id").orderBy("rnk").rowsBetween(W.unboundedPreceding, -1)
